@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quadrille.llm import exact_dedup, mixing, quality
+from quadrille.llm import bpe, exact_dedup, mixing, quality
 from quadrille.session import table
 
 
@@ -14,12 +14,22 @@ def op8_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def tokenizer_path(name="byte_bpe_multi_50k.tiktoken"):
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_byte_bpe(spark, sf_dir):
+    return bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+
+
 def op10_quality_rules(spark, sf_dir):
     return quality.quality_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def queries():
-    return {"op10_quality_rules": op10_quality_rules, "op7_mixing": op7_mixing, "op8_exact_dedup": op8_exact_dedup}
+    return {"op3_byte_bpe": op3_byte_bpe, "op10_quality_rules": op10_quality_rules, "op7_mixing": op7_mixing, "op8_exact_dedup": op8_exact_dedup}
 
 
 def oracle_sql():
