@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quadrille.llm import bpe, exact_dedup, mixing, quality
+from quadrille.llm import bpe, exact_dedup, minhash, mixing, quality
 from quadrille.session import table
 
 
@@ -20,6 +20,10 @@ def tokenizer_path(name="byte_bpe_multi_50k.tiktoken"):
     return public_tokenizers.path(name)
 
 
+def op1_minhash_near_dedup(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=85, shingle=3)
+
+
 def op3_byte_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
 
@@ -29,7 +33,7 @@ def op10_quality_rules(spark, sf_dir):
 
 
 def queries():
-    return {"op3_byte_bpe": op3_byte_bpe, "op10_quality_rules": op10_quality_rules, "op7_mixing": op7_mixing, "op8_exact_dedup": op8_exact_dedup}
+    return {"op1_minhash_near_dedup": op1_minhash_near_dedup, "op3_byte_bpe": op3_byte_bpe, "op10_quality_rules": op10_quality_rules, "op7_mixing": op7_mixing, "op8_exact_dedup": op8_exact_dedup}
 
 
 def oracle_sql():
