@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quadrille.llm import bpe, exact_dedup, minhash, mixing, quality, substring
+from quadrille.llm import bpe, exact_dedup, minhash, mixing, quality, substring, suffixes
 from quadrille.session import table
 
 
@@ -32,12 +32,16 @@ def op4_substring_dedup(spark, sf_dir):
     return substring.substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_suffix_array_dedup(spark, sf_dir):
+    return suffixes.suffix_dedup_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_quality_rules(spark, sf_dir):
     return quality.quality_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def queries():
-    return {"op1_minhash_near_dedup": op1_minhash_near_dedup, "op3_byte_bpe": op3_byte_bpe, "op4_substring_dedup": op4_substring_dedup, "op10_quality_rules": op10_quality_rules, "op7_mixing": op7_mixing, "op8_exact_dedup": op8_exact_dedup}
+    return {"op1_minhash_near_dedup": op1_minhash_near_dedup, "op3_byte_bpe": op3_byte_bpe, "op4_substring_dedup": op4_substring_dedup, "op6_suffix_array_dedup": op6_suffix_array_dedup, "op10_quality_rules": op10_quality_rules, "op7_mixing": op7_mixing, "op8_exact_dedup": op8_exact_dedup}
 
 
 def oracle_sql():
