@@ -1,11 +1,64 @@
-"""Corpus preparation, stage by stage."""
+"""Corpus preparation, stage by stage.
 
-STAGES = []
-ORACLE_SQL = None
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again before the next:
+language ID, exact dedup, MinHash near-dedup, mixing to target weights, byte-level BPE. All but the last return
+the columns of documents.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quadrille.llm import bpe, exact_dedup, langid, minhash, mixing, registry
+from quadrille.session import ensure_checkpoint_dir
+
+
+def _keep(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The rows of ``docs`` but for those whose doc_id is rejected; rows without doc_id stay."""
+    refused = verdicts.filter(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(refused, "doc_id", "left_anti").select(*docs.columns)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _keep(docs, langid.identify_documents(docs))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _keep(docs, exact_dedup.exact_dedup(docs.select("doc_id", "text")))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Five words and a similarity of 0.8."""
+    return _keep(docs, minhash.near_duplicates(docs.select("doc_id", "text")))
+
+
+def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(docs, registry.tokenizer_path())
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("exact_dedup", exact),
+    ("minhash_near_dedup", near),
+    ("mixing", mixing_to_weights),
+    ("byte_bpe", tokens),
+]
+ORACLE_SQL = None  # language ID and BPE are beyond SQL; tests/llm compares run() with a brute-force version
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    place = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs.write.parquet(f"{place}/{k}_{name}")
+            docs = spark.read.parquet(f"{place}/{k}_{name}")
     return docs
