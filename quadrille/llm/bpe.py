@@ -28,7 +28,7 @@ from quadrille.llm.remote import remote
 
 SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
-CACHE = 200_000
+CACHE = 100_000
 
 
 @lru_cache(1)
@@ -262,30 +262,40 @@ def _encode(batches, path: str, text: str):
         yield pa.RecordBatch.from_pydict(arrays)
 
 
-def _decode(batches, path: str, digest: bool):
+def _texts(words: Vocabulary, ids: np.ndarray, at: np.ndarray) -> list[bytes]:
+    raw, lengths = words.decode(ids)
+    where = np.append(0, np.cumsum(lengths))[at]
+    raw = raw.tobytes()
+    return [raw[a:b] for a, b in zip(where[:-1].tolist(), where[1:].tolist())]
+
+
+def _decode(batches, path: str):
     words = vocabulary(path)
     for batch in batches:
         column = batch.column("token_ids")
-        if column.null_count:
-            column = pa.array(column.to_pylist(), column.type).fill_null([])
-        ids, at = column.flatten().to_numpy(), np.append(0, np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False)))
-        raw, lengths = words.decode(ids)
-        where = np.append(0, np.cumsum(lengths))[at]
-        raw = raw.tobytes()
+        counts = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
         arrays = dict(zip(batch.schema.names, batch.columns))
-        texts = [raw[a:b] for a, b in zip(where[:-1].tolist(), where[1:].tolist())]
-        if digest:
-            stored = ids.astype("<u4").tobytes()
-            spans = zip((4 * at[:-1]).tolist(), (4 * at[1:]).tolist())
-            arrays.pop("token_ids")
-            arrays["n_tokens"] = pa.array(np.diff(at), pa.int64())
-            arrays["ids_sha256"] = pa.array([hashlib.sha256(stored[a:b]).hexdigest() for a, b in spans])
-            arrays["decoded_sha256"] = pa.array([hashlib.sha256(t).hexdigest() for t in texts])
-        else:
-            arrays["decoded"] = pa.array(texts, pa.binary())
+        arrays["decoded"] = pa.array(_texts(words, column.flatten().to_numpy(), np.append(0, np.cumsum(counts))), pa.binary())
         yield pa.RecordBatch.from_pydict(arrays)
 
 
+def _round_trip(batches, path: str):
+    words = vocabulary(path)
+    for batch in pieces(batches, "text", 1 << 19):
+        ids, counts = words.encode(batch.column("text"))
+        at = np.append(0, np.cumsum(counts))
+        stored = ids.astype("<u4").tobytes()
+        spans = zip((4 * at[:-1]).tolist(), (4 * at[1:]).tolist())
+        yield pa.RecordBatch.from_pydict(
+            {
+                "doc_id": batch.column("doc_id"),
+                "n_tokens": pa.array(counts, pa.int64()),
+                "ids_sha256": pa.array([hashlib.sha256(stored[a:b]).hexdigest() for a, b in spans]),
+                "decoded_sha256": pa.array([hashlib.sha256(t).hexdigest() for t in _texts(words, ids, at)]),
+            }
+        )
+
+
 def _schema(df: DataFrame, drop: str, *extra: str) -> str:
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != drop]
     return ", ".join([*kept, *extra])
@@ -304,11 +314,14 @@ def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
 def decode(tokens: DataFrame, path: str) -> DataFrame:
     """``tokens`` with the decoded bytes (``decoded``, binary) of ``token_ids``; null ids decode to nothing."""
     rows = tokens.drop("decoded")
-    return rows.mapInArrow(remote(__name__, "_decode", path=path, digest=False), _schema(rows, "decoded", "decoded binary"))
+    return rows.mapInArrow(remote(__name__, "_decode", path=path), _schema(rows, "decoded", "decoded binary"))
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, n_tokens, and SHA-256 of its ids (little-endian, 32 bits) and of the bytes they decode to."""
-    tokens = encode(docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")), path)
-    extra = ("n_tokens long", "ids_sha256 string", "decoded_sha256 string")
-    return tokens.mapInArrow(remote(__name__, "_decode", path=path, digest=True), _schema(tokens, "token_ids", *extra))
+    """Per document: doc_id, n_tokens, and SHA-256 of its ids (little-endian, 32 bits) and of the bytes they decode to.
+
+    Encodes and decodes in one pass, so the ids of a partition are never held together.
+    """
+    texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    shape = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return texts.mapInArrow(remote(__name__, "_round_trip", path=path), shape)
