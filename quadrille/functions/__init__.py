@@ -1 +1 @@
-"""quadrille.functions"""
+"""Column expressions: Hilbert curve, geodesy, tile algebra."""
