@@ -28,6 +28,16 @@ def _steps(df: DataFrame, kept: list[str], *steps: dict[str, str]) -> DataFrame:
     return df
 
 
+def _sealed(df: DataFrame, kept: list[str], last: dict[str, str]) -> DataFrame:
+    """The last step as a generator, which filters on its result stay above.
+
+    Pushed below the projections, a filter would carry the whole expression with it, each round's
+    operands written out in full.
+    """
+    values = ", ".join(f"'{name}', {value}" for name, value in last.items())
+    return df.selectExpr(*kept, f"inline(array(named_struct({values})))")
+
+
 def _spread(*names: str) -> list[dict[str, str]]:
     """Bits of 32-bit words moved to the even places."""
     masks = (0x0000FFFF0000FFFF, 0x00FF00FF00FF00FF, 0x0F0F0F0F0F0F0F0F, 0x3333333333333333, 0x5555555555555555)
@@ -67,7 +77,7 @@ def with_h(df: DataFrame, x: Column, y: Column, name: str = "h") -> DataFrame:
         steps.append(both | (product if s < 16 else {}) | moved)
     steps.append({"_x": "_x ^ _y", "_y": f"_d ^ shiftright(_d, 1) | ({ONES} ^ ((_x ^ _y) | (_c ^ shiftright(_c, 1))))"})
     df = _steps(df, kept, *steps, *_spread("_x", "_y"))
-    return df.selectExpr(*kept, f"shiftleft(_y, 1) | _x AS `{name}`")
+    return _sealed(df, kept, {name: "shiftleft(_y, 1) | _x"})
 
 
 def with_xy(df: DataFrame, h: Column, x: str = "x", y: str = "y") -> DataFrame:
@@ -80,7 +90,7 @@ def with_xy(df: DataFrame, h: Column, x: str = "x", y: str = "y") -> DataFrame:
     steps = [both | {"_s": f"(_i | _j) ^ {ONES}", "_t": "_i & _j"}]
     steps += [both | {v: f"shiftright({v}, {k}) ^ {v}" for v in ("_s", "_t")} for k in (16, 8, 4, 2, 1)]
     steps.append(both | {"_a": f"((_i ^ {ONES}) & _t) | (_i & _s)"})
-    return _steps(df, kept, *steps).selectExpr(*kept, f"_a ^ _j AS `{x}`", f"_a ^ _i ^ _j AS `{y}`")
+    return _sealed(_steps(df, kept, *steps), kept, {x: "_a ^ _j", y: "_a ^ _i ^ _j"})
 
 
 def ordered(h: Column) -> Column:
