@@ -1,4 +1,4 @@
-"""Every named query with the SQL that DuckDB can check it by."""
+"""Every named map query with the SQL that DuckDB can check it by."""
 
 from __future__ import annotations
 
@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quadrille.plans.queries import QUERIES
+from quadrille.plans.statements import SQL
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

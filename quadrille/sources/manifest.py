@@ -128,7 +128,7 @@ STAR = parse(
             "customer": {"minzoom": 6, "keys": ["segment"]},
             "silent": {"minzoom": 0, "tags": [["segment", "MACHINERY"]]},
             "part": {"minzoom": 8, "keys": ["brand"], "include": "All"},
-            "waterway": {"minzoom": 0},
+            "waterway": {"minzoom": 0}, "ferry": {"minzoom": 3, "keys": ["ferry"], "values": ["harbour"], "tags": [["route", "ferry"]]},
         },
     }
 )
