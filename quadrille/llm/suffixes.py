@@ -13,7 +13,7 @@ strings have at the same place. Only minimizers that occur twice need a suffix a
    nodes of the suffix tree; those whose members have different bytes on their left are the maximal repeats.
    Each gives its whole group of occurrences, and all but the earliest lose the repeat.
 4. A bucket with more different contexts than fit in a block leaves by another exact way: its windows
-   are named by 128-bit hashes and grouped by a combined aggregation.
+   are named by 128-bit hashes, sorted by name, and all but the first of a name go.
 
 Texts that equal a smaller doc_id's collapse before this.
 """
@@ -331,13 +331,37 @@ def _repeats(batches, size: int, most: int):
         yield _rows(_merge(spans), named)
 
 
+def _settled(batches, size: int):
+    """Spans as they are, and one for each named window but the first of its name.
+
+    Rows come sorted by name, doc_id and from; a row without a name is a span.
+    """
+    last = None
+    for batch in batches:
+        keep, to = [], []
+        columns = (batch.column(c).to_pylist() for c in ("name_a", "name_b", "from", "to"))
+        for k, (a, b, lo, hi) in enumerate(zip(*columns)):
+            if a is None:
+                keep.append(k)
+                to.append(hi)
+            elif (a, b) == last:
+                keep.append(k)
+                to.append(lo + size)
+            else:
+                last = (a, b)
+        rows = pa.array(keep, pa.int64())
+        yield pa.RecordBatch.from_pydict(
+            {"doc_id": batch.column("doc_id").take(rows), "from": batch.column("from").take(rows), "to": pa.array(to, pa.int32())}
+        )
+
+
 def _cut(batches):
     for batch in pieces(batches, "text"):
         texts, removed, runs, total = [], [], [], []
         for text, spans in zip(batch.column("text"), batch.column("spans")):
             raw = text.as_buffer().to_pybytes()
             out, at, gone, n = [], 0, 0, 0
-            for _, lo, hi in _merge((0, s["from"], s["to"]) for s in spans.as_py()):
+            for _, lo, hi in _merge((0, s["from"], s["to"]) for s in spans.as_py() or ()):
                 out.append(raw[at:lo])
                 gone, n, at = gone + hi - lo, n + 1, hi
             out.append(raw[at:])
@@ -364,7 +388,9 @@ def suffix_dedup(
     A byte goes if a string of ``size`` bytes that covers it also starts earlier: in a smaller doc_id, or before in
     the same text. A null text is empty. Texts without a doc_id lose nothing and take nothing. Rows that
     repeat a doc_id are expected to repeat its text, and get the same result each. Other columns are ignored; an
-    empty table gives an empty result. ``kept`` is null where nothing was removed (see ``sha``, the whole text's).
+    empty table gives an empty result. ``kept`` may be null where nothing was removed; then ``sha`` is the whole text's.
+
+    Texts are shuffled by doc_id once; all passes over them read that one exchange.
     """
     ensure_checkpoint_dir(docs.sparkSession)
     width = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
@@ -372,8 +398,8 @@ def suffix_dedup(
     facts = every.mapInArrow(remote(__name__, "_facts"), "doc_id long, n_bytes long, sha string").checkpoint()
     firsts = facts.groupBy("sha").agg(F.min("doc_id").alias("first"))
     facts = facts.join(firsts, "sha").checkpoint()
-    able = facts.filter((F.col("doc_id") == F.col("first")) & (F.col("n_bytes") >= size)).select("doc_id").distinct()
-    texts = every.join(able, "doc_id").select("doc_id", "text")
+    able = F.coalesce((F.col("doc_id") == F.col("first")) & (F.col("n_bytes") >= size), F.lit(False))
+    texts = every.join(facts.filter(able).select("doc_id").distinct(), "doc_id").select("doc_id", "text")
 
     places = (
         texts.mapInArrow(remote(__name__, "_occurrences", size=size), "gram long, doc_id long, pos int")
@@ -393,20 +419,18 @@ def suffix_dedup(
             remote(__name__, "_repeats", size=size, most=block_bytes),
             "doc_id long, `from` int, `to` int, name_a long, name_b long",
         )
-        .checkpoint()
     )
-    spans = found.filter("name_a IS NULL").select("doc_id", "from", "to")
-    hot = found.filter("name_a IS NOT NULL")
-    if not hot.isEmpty():
-        earliest = hot.groupBy("name_a", "name_b").agg(F.min(F.struct("doc_id", "from")).alias("first"))
-        later = hot.join(earliest, ["name_a", "name_b"]).filter(F.struct("doc_id", "from") != F.col("first"))
-        spans = spans.unionByName(later.select("doc_id", "from", (F.col("from") + size).alias("to")))
-    per_text = spans.groupBy("doc_id").agg(F.collect_set(F.struct("from", "to")).alias("spans")).checkpoint()
-    cut = texts.join(per_text, "doc_id").mapInArrow(
+    spans = (
+        found.repartition(width, F.coalesce("name_a", "doc_id"))
+        .sortWithinPartitions("name_a", "name_b", "doc_id", "from")
+        .mapInArrow(remote(__name__, "_settled", size=size), "doc_id long, `from` int, `to` int")
+    )
+    per_text = spans.groupBy("doc_id").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
+    cut = texts.join(per_text, "doc_id", "left").mapInArrow(
         remote(__name__, "_cut"), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
     )
-    copy = (F.col("doc_id") > F.col("first")) & (F.col("n_bytes") >= size)
-    whole = facts.join(per_text, "doc_id", "left_anti").select(
+    copy = F.coalesce((F.col("doc_id") > F.col("first")) & (F.col("n_bytes") >= size), F.lit(False))
+    whole = facts.filter(~able).select(
         "doc_id",
         "n_bytes",
         F.when(copy, F.col("n_bytes")).otherwise(F.lit(0)).cast("long").alias("n_removed"),
@@ -414,7 +438,6 @@ def suffix_dedup(
         F.when(copy, F.lit("").cast("binary")).alias("kept"),
         "sha",
     )
-    whole = whole.withColumn("n_spans", F.coalesce("n_spans", F.lit(0)))
     return cut.withColumn("sha", F.lit(None).cast("string")).unionByName(whole)
 
 
