@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrille.functions import geo, hilbert, tile
-from quadrille.operators import content, index, rules
+from quadrille.operators import content, document, index, rules
 from quadrille.sources import star
 from quadrille.sources.manifest import STAR
 from quadrille.session import table
@@ -221,7 +221,7 @@ def delta_decode(spark, d):
 
 def way_location_short(spark, d):
     p = star.planet(spark, d)
-    return p.ways.filter(F.size("refs") < 4).select("osm_id").join(p.way_h, "osm_id")
+    return p.ways.filter(F.size("refs") < 4).select("osm_id").join(p.way_h.filter("h IS NOT NULL"), "osm_id")
 
 
 def way_location_surface(spark, d):
@@ -467,6 +467,33 @@ def source_union(spark, d):
     return first.unionByName(counts.select(F.lit(1).alias("source_pos"), "tile_h", F.lit("All entities").alias("layer"), "n"))
 
 
+def _features(spark, d, z):
+    p = star.planet(spark, d)
+    shown = content.compose(_content(spark, d), _at_leaf(spark, d), Z, z)
+    return document.features(shown, document.points_of(p), _rendered(spark, d), p.located, z)
+
+
+def tile_document(spark, d):
+    """Nested documents of the leaf tiles, as JSON."""
+    docs = document.documents(_features(spark, d, Z), rules.layer_rules(spark, STAR))
+    return docs.select("tile_h", F.to_json("layers").alias("layers"))
+
+
+def tile_decode(spark, d):
+    docs = document.documents(_features(spark, d, Z), rules.layer_rules(spark, STAR))
+    rows = document.decoded(docs)
+    return rows.select("tile_h", "layer", F.col("id"), rows["properties"]["rule"].alias("rule"), F.size(F.get("geometries", F.lit(0))).alias("n_points"))
+
+
+def tile_report(spark, d):
+    docs = document.documents(_features(spark, d, Z), rules.layer_rules(spark, STAR))
+    return document.report(docs, ("include_features", "include_geometries"))
+
+
+def feature_geojson(spark, d):
+    return document.geojson(_features(spark, d, Z), Z)
+
+
 def layer_mute_solo(spark, d):
     """Layers left when some are muted; a solo list would override it."""
     layers = rules.layer_rules(spark, STAR).select("layer_pos", "layer").distinct()
@@ -487,5 +514,5 @@ QUERIES = {f.__name__: f for f in (
     external_ways, external_relations, leaf_externals, rule_tables, layer_warnings, unmatched_rule_strings, classify_entities,
     untagged_filter, zoom_filter, tag_lookup, tile_content, tile_content_independent, leaf_compose, htile_compose, include_leaves,
     tag_projection, layer_fanout, feature_geometry, geometry_type, signed_area, tile_dictionary, report_rows, style_filter, pick_bbox,
-    info_layers, source_union, layer_mute_solo, block_types,
+    info_layers, source_union, tile_document, tile_decode, tile_report, feature_geojson, layer_mute_solo, block_types,
 )}

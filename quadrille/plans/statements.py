@@ -135,7 +135,7 @@ SQL = {
     "tag_dictionary": q(NODE_STRINGS + " SELECT k, v, row_number() OVER (ORDER BY min(spot)) - 1 AS tag_id FROM node_strings GROUP BY k, v"),
     "range_to_next": q(", n AS (SELECT o_orderkey AS osm_id, coalesce(n_refs, 0) AS n FROM orders LEFT JOIN way_sizes ON osm_id = o_orderkey), f AS (SELECT osm_id, (sum(n) OVER (ORDER BY osm_id) - n)::BIGINT AS first_ref FROM n) SELECT osm_id, first_ref, coalesce(lead(first_ref) OVER (ORDER BY osm_id), (SELECT sum(n) FROM n))::BIGINT AS next_first FROM f"),
     "delta_decode": q("SELECT osm_id, pos, ref - coalesce(lag(ref) OVER (PARTITION BY osm_id ORDER BY pos), 0) AS delta, ref AS decoded FROM refs"),
-    "way_location_short": q("SELECT osm_id, h FROM way_h LEFT JOIN way_sizes USING (osm_id) WHERE coalesce(n_refs, 0) < 4"),
+    "way_location_short": q("SELECT osm_id, h FROM way_h LEFT JOIN way_sizes USING (osm_id) WHERE coalesce(n_refs, 0) < 4 AND h IS NOT NULL"),
     "way_location_surface": q("SELECT osm_id, h FROM way_h JOIN way_sizes USING (osm_id) WHERE n_refs >= 4"),
     "relation_location": q("SELECT osm_id, h FROM relation_h"),
     "hilbert_sort": q("SELECT kind, osm_id, h, row_number() OVER (ORDER BY CASE WHEN h < 0 THEN h + 18446744073709551616::HUGEINT ELSE h::HUGEINT END, kind, osm_id) - 1 AS place FROM located"),
@@ -176,6 +176,7 @@ SQL = {
       {project("root_z", "root_x", "(nx + ext)")} AS east, {project("root_z", "root_y", "(ny + ext)")} AS south, {project("root_z", "root_x", "(nx + ext // 2)")} AS center_x,
       {project("root_z", "root_y", "(ny + ext // 2)")} AS center_y, z = root_z AND x = root_x AND y = root_y AS is_render_tile FROM g"""),
     "source_union": q(f" SELECT 0 AS source_pos, tile_h, layer, n FROM ({FANOUT}) UNION ALL SELECT 1, tile_h, 'All entities', count(*) FROM content WHERE z = 4 GROUP BY tile_h"),
+    "tile_decode": q(" SELECT tile_h, layer, l.h AS id, rule, coalesce(n_points, 1)::INT AS n_points FROM at_leaf JOIN rendered USING (kind, osm_id) JOIN layer_rules USING (rule) JOIN located l USING (kind, osm_id) LEFT JOIN (SELECT 'way' AS kind, osm_id, count(h) AS n_points FROM way_points GROUP BY osm_id) USING (kind, osm_id)"),
     "layer_mute_solo": q(" SELECT DISTINCT layer_pos::INT AS layer_pos, layer FROM layer_rules WHERE layer NOT IN ('Orders', 'Parts')"),
     "block_types": "SELECT event_type, count(*) AS n, min(event_id) AS first_id FROM events GROUP BY event_type",
 }
