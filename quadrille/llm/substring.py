@@ -87,7 +87,8 @@ def _occurrences(batches, size: int, width: int):
 
 
 def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    return lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False)
+    lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return lists.flatten().to_numpy(zero_copy_only=False), lengths
 
 
 def _windows(batches, size: int):
@@ -100,6 +101,10 @@ def _windows(batches, size: int):
         at = np.flatnonzero(found.inside & wanted[found.best])
         names = [windows(found.words.hashes(k), size, k)[at] for k in range(2)]
         rows = found.words.row[at]
+        # a window that repeats within its document goes once; _cut finds the others
+        _, once = np.unique(mix(names[0] + mix(names[1] + rows.astype(U))), return_index=True)
+        once.sort()
+        at, rows, names = at[once], rows[once], [n[once] for n in names]
         yield pa.RecordBatch.from_pydict(
             {
                 "name_a": pa.array(signed(names[0])),
@@ -110,47 +115,79 @@ def _windows(batches, size: int):
         )
 
 
+def _later(batches):
+    """(doc_id, start) of windows that a smaller doc_id has too; rows come sorted by name and doc_id."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        a, b, ids, start = (batch.column(c).to_numpy() for c in ("name_a", "name_b", "doc_id", "start"))
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        if held is not None and held[:2] == (a[0], b[0]):
+            new[0] = False
+        first = np.append(ids[new], held[2] if held is not None else 0)[np.cumsum(new) - 1]
+        later = ids > first
+        held = a[-1], b[-1], first[-1]
+        yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids[later]), "start": pa.array(start[later])})
+
+
 def _cut(batches, size: int):
     for batch in pieces(batches, "text"):
+        words = Words(batch.column("text"))
+        names = [windows(words.hashes(k), size, k) for k in range(2)]
         starts, lengths = _flat(batch.column("starts"))
         ends = np.cumsum(lengths)
-        texts, removed, total = [], [], []
-        for text, lo, hi in zip(batch.column("text"), (ends - lengths).tolist(), ends.tolist()):
-            words = text.as_buffer().to_pybytes().split()
-            cover = np.zeros(len(words) + 1, np.int32)
-            np.add.at(cover, starts[lo:hi], 1)
-            np.add.at(cover, np.minimum(starts[lo:hi] + size, len(words)), -1)
-            gone = np.cumsum(cover[:-1]) > 0
-            texts.append(b" ".join(w for w, g in zip(words, gone.tolist()) if not g).decode())
+        raw = words.data.tobytes()
+        texts, removed = [], []
+        for r, (lo, hi) in enumerate(zip((ends - lengths).tolist(), ends.tolist())):
+            first, n = int(words.first[r]), int(words.counts[r])
+            gone = np.zeros(n, bool)
+            if hi > lo:
+                a, b = (x[first : first + n - size + 1] for x in names)
+                order = starts[lo:hi][np.argsort(a[starts[lo:hi]])]
+                at = np.minimum(np.searchsorted(a[order], a), len(order) - 1)
+                same = (a[order][at] == a) & (b[order][at] == b)
+                same[starts[lo:hi]] = True
+                cover = np.zeros(n + 1, np.int32)
+                found = np.flatnonzero(same)
+                np.add.at(cover, found, 1)
+                np.add.at(cover, found + size, -1)
+                gone = np.cumsum(cover[:-1]) > 0
+            kept = np.flatnonzero(~gone) + first
+            texts.append(b" ".join([raw[i:j] for i, j in zip(words.start[kept].tolist(), words.end[kept].tolist())]).decode())
             removed.append(int(gone.sum()))
-            total.append(len(words))
         yield pa.RecordBatch.from_pydict(
             {
                 "doc_id": batch.column("doc_id"),
-                "n_words": pa.array(total, pa.int64()),
+                "n_words": pa.array(words.counts.astype(np.int64)),
                 "n_removed": pa.array(removed, pa.int64()),
                 "kept_text": pa.array(texts, pa.string()),
             }
         )
 
 
-def repeated_windows(
-    docs: DataFrame, size: int = 50, id_col: str = "doc_id", text_col: str = "text"
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(facts, texts, starts): each document's figures, the texts under work, and the covered window starts.
+def substring_dedup(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space).
+
+    Null and blank texts have no words. A document whose words all equal those of a smaller doc_id loses all of
+    them if it has a window at all. Texts without a doc_id, which have no place in the order, lose nothing and take
+    nothing. Rows that repeat a doc_id are expected to repeat its text, and get the same result each. Other columns
+    are ignored; an empty table gives an empty result.
 
-    facts has doc_id, n_words, sha, first (smallest doc_id with the same words); texts has doc_id and text of
-    the documents that may keep some words; starts has doc_id and the list of starts of windows to remove.
+    Texts are shuffled by doc_id once; all passes over them read that one exchange.
     """
-    ensure_checkpoint_dir(docs.sparkSession)
+    spark = docs.sparkSession
+    ensure_checkpoint_dir(spark)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     every = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     facts = every.mapInArrow(remote(__name__, "_facts"), "doc_id long, n_words long, sha string").checkpoint()
     firsts = facts.groupBy("sha").agg(F.min("doc_id").alias("first"))
     facts = facts.join(firsts, "sha").checkpoint()
     words = facts.agg(F.sum("n_words")).first()[0] or 0
     width = 1 << max(16, int(words * 8 // max(1, size - GRAM) * 2).bit_length())
-    able = facts.filter((F.col("doc_id") == F.col("first")) & (F.col("n_words") >= size)).select("doc_id").distinct()
-    texts = every.join(able, "doc_id").select("doc_id", "text")
+    able = F.coalesce((F.col("doc_id") == F.col("first")) & (F.col("n_words") >= size), F.lit(False))
+    texts = every.join(facts.filter(able).select("doc_id").distinct(), "doc_id").select("doc_id", "text")
 
     partial = texts.mapInArrow(remote(__name__, "_sketch", size=size, width=width), "cell long, n long")
     merged = partial.groupBy("cell").agg(F.sum("n").alias("n")).filter("n > 1").select("cell")
@@ -162,27 +199,18 @@ def repeated_windows(
     named = texts.join(places, "doc_id").mapInArrow(
         remote(__name__, "_windows", size=size), "name_a long, name_b long, doc_id long, start int"
     )
-    shared = named.groupBy("name_a", "name_b").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
-    later = named.join(shared, ["name_a", "name_b"]).filter("doc_id > lo")
-    starts = later.groupBy("doc_id").agg(F.collect_set("start").alias("starts")).checkpoint()
-    return facts, texts, starts
-
-
-def substring_dedup(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space).
-
-    Null and blank texts have no words. A document whose words all equal those of a smaller doc_id loses all of
-    them if it has a window at all. Texts without a doc_id, which have no place in the order, lose nothing and take
-    nothing. Rows that repeat a doc_id are expected to repeat its text, and get the same result each. Other columns
-    are ignored; an empty table gives an empty result.
-    """
-    facts, texts, starts = repeated_windows(docs, size, id_col, text_col)
-    cut = texts.join(starts, "doc_id").mapInArrow(
+    later = (
+        named.repartition(parts, "name_a")
+        .sortWithinPartitions("name_a", "name_b", "doc_id")
+        .mapInArrow(remote(__name__, "_later"), "doc_id long, start int")
+    )
+    starts = later.groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
+    cut = texts.join(starts, "doc_id", "left").mapInArrow(
         remote(__name__, "_cut", size=size), "doc_id long, n_words long, n_removed long, kept_text string"
     )
     cut = cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
-    copy = (F.col("doc_id") > F.col("first")) & (F.col("n_words") >= size)
-    whole = facts.join(starts, "doc_id", "left_anti").select(
+    copy = F.coalesce((F.col("doc_id") > F.col("first")) & (F.col("n_words") >= size), F.lit(False))
+    whole = facts.filter(~able).select(
         "doc_id",
         "n_words",
         F.when(copy, F.col("n_words")).otherwise(F.lit(0)).cast("long").alias("n_removed"),
