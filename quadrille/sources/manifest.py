@@ -90,9 +90,11 @@ def to_dict(m: Manifest) -> dict:
     rules = {}
     for name, r in m.rules.items():
         include = r.include if isinstance(r.include, str) else {"Keys": list(r.include)}
-        rules[name] = {"minzoom": r.minzoom, "maxzoom": r.maxzoom, "tags": [list(t) for t in r.tags], "keys": list(r.keys), "values": list(r.values), "include": include}
+        rules[name] = {"minzoom": r.minzoom, "tags": [list(t) for t in r.tags], "keys": list(r.keys), "values": list(r.values), "include": include}
+        if r.maxzoom is not None:
+            rules[name]["maxzoom"] = r.maxzoom
     return {
-        "data": {"source": m.source, "planet": m.planet, "archive": m.archive, "include_leaves": list(m.include_leaves)},
+        "data": {k: v for k, v in (("source", m.source), ("planet", m.planet), ("archive", m.archive)) if v} | {"include_leaves": list(m.include_leaves)},
         "render": {"leaf_zoom": m.leaf_zoom, "layer_order": list(m.layer_order), "all_tags": m.all_tags},
         "layers": {k: list(v) for k, v in m.layers.items()},
         "rules": rules,
