@@ -11,7 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quadrille.session import ensure_checkpoint_dir
+
 WEIGHTS = (5, 2, 1)
+SMALL = 8 << 20  # bytes of the table of sources, up to which it is broadcast
 
 
 def word_count(text: Column) -> Column:
@@ -83,12 +86,16 @@ def mix_plan(
     target 0 and its rows are not emitted. An empty table gives an empty result.
     """
     sized = docs.withColumn("_size", word_count(F.col(text_col)))
-    sizes = sized.groupBy(F.col(source_col).alias("source")).agg(F.sum("_size").alias("source_size"))
+    ensure_checkpoint_dir(docs.sparkSession)
+    sizes = sized.groupBy(F.col(source_col).alias("source")).agg(F.sum("_size").alias("source_size")).checkpoint()
     targets = source_targets(sizes, weights, percent, most).select(
         F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target")
     )
     rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(F.lit(0.0))
-    joined = sized.join(targets, sized[source_col].eqNullSafe(targets["_source"])).drop("_source")
+    weight = F.sum(F.coalesce(F.octet_length("source"), F.lit(0)) + 32)
+    small = (sizes.agg(weight).first()[0] or 0) <= SMALL
+    # texts stay where they are while the table of sources is small; beyond that, AQE splits the hot sources of a join
+    joined = sized.join(F.broadcast(targets) if small else targets, sized[source_col].eqNullSafe(targets["_source"])).drop("_source")
     whole = F.floor(rate)
     extra = (coin(F.col(id_col), seed) < rate - whole).cast("long")
     return joined.withColumn("_copies", whole.cast("long") + extra)
