@@ -99,15 +99,20 @@ def _text_evidence(batches, model: Model):
 def train(rows: DataFrame, per_language: int = 400, most_languages: int = 64) -> Model:
     """A model from ``per_language`` rows of (lang, text) at most, those of least hash, in each language.
 
-    Fitting takes a bounded sample by intent; the bound is ``per_language`` times ``most_languages`` rows.
+    Fitting takes a bounded sample by intent; the bound is ``per_language`` times ``most_languages`` rows. A hash below
+    the share that is wanted picks them where they are read, so the driver sees about as many rows as it keeps.
     """
     labelled = rows.filter("lang IS NOT NULL AND text IS NOT NULL").withColumn("_h", F.xxhash64("lang", "text"))
-    common = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages)
-    sample: list[tuple[str, str]] = []
-    for (lang,) in common.select("lang").collect():
-        picked = labelled.filter(F.col("lang") == lang).orderBy("_h", "text").limit(per_language).select("lang", "text")
-        sample += [(r.lang, r.text) for r in picked.collect()]
-    return Model(sample)
+    common = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    if not common:
+        return Model([])
+    bounds = F.create_map(
+        *[F.lit(x) for lang, n in common for x in (lang, int(-(1 << 63) + ((1 << 64) - 1) * min(1.0, 2 * per_language / n)) if n > 2 * per_language else (1 << 63) - 1)]
+    )
+    picked: dict[str, list] = {}
+    for r in labelled.filter(F.col("_h") <= F.try_element_at(bounds, F.col("lang"))).select("lang", "_h", "text").toLocalIterator():
+        picked.setdefault(r.lang, []).append((r["_h"], r.text))
+    return Model([(lang, text) for lang, found in picked.items() for _, text in sorted(found)[:per_language]])
 
 
 def declared_language(markup: Column) -> Column:
