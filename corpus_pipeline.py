@@ -16,23 +16,47 @@ from quadrille.llm import bpe, exact_dedup, langid, minhash, mixing, registry
 from quadrille.session import ensure_checkpoint_dir
 
 
-def _keep(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The rows of ``docs`` but for those whose doc_id is rejected; rows without doc_id stay."""
-    refused = verdicts.filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(refused, "doc_id", "left_anti").select(*docs.columns)
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with _row, a number of each row's own that all later scans repeat.
+
+    A table of files has it from a row's file and its place there; any other is checkpointed with it.
+    """
+    spark = docs.sparkSession
+    ensure_checkpoint_dir(spark)
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        return docs.withColumn("_row", F.monotonically_increasing_id()).checkpoint()
+    rows = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place"))
+    files = sorted(r[0] for r in rows.select("_file").distinct().collect())
+    numbers = spark.createDataFrame(list(enumerate(files)), "_number long, _file string")
+    return rows.join(F.broadcast(numbers), "_file").select(*docs.columns, (F.col("_number") * (1 << 40) + F.col("_place")).alias("_row"))
+
+
+def _keep(rows: DataFrame, refused: DataFrame) -> DataFrame:
+    """The numbered ``rows`` but for the refused ones, without their numbers."""
+    return rows.join(refused.select("_row"), "_row", "left_anti").drop("_row")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _keep(docs, langid.identify_documents(docs))
+    rows = _numbered(docs)
+    return _keep(rows, langid.identify_documents(rows, carry=("_row",)).filter("NOT kept"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _keep(docs, exact_dedup.exact_dedup(docs.select("doc_id", "text")))
+    rows = _numbered(docs)
+    verdicts = exact_dedup.exact_dedup(rows.select("_row", "doc_id", "text"), row_col="_row")
+    return _keep(rows, verdicts.filter("NOT kept"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five words and a similarity of 0.8."""
-    return _keep(docs, minhash.near_duplicates(docs.select("doc_id", "text")))
+    """Five words and a similarity of 0.8. Of linked rows the one with the smallest doc_id stays; null ranks last."""
+    rows = _numbered(docs)
+    found = minhash.near_duplicates(rows.select("_row", "text"), id_col="_row")
+    found = found.select(F.col("doc_id").alias("_row"), "component_id").checkpoint()
+    shared = found.filter("_row <> component_id").select("component_id").distinct()
+    members = found.join(shared, "component_id", "left_semi").join(rows.select("_row", "doc_id"), "_row")
+    place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "_row")
+    first = members.groupBy("component_id").agg(F.min(place).alias("first"))
+    return _keep(rows, members.join(first, "component_id").filter("_row <> first._row"))
 
 
 def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,11 +29,11 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), runs, " ")
 
 
-def _blocks(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+def _blocks(docs: DataFrame, size: int, id_col: str, text_col: str, row_col: str | None) -> DataFrame:
     """(row, doc_id, n_blocks, pos, block, h, sha); sha on the first block only."""
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
-        F.monotonically_increasing_id().alias("row"),
+        (F.monotonically_increasing_id() if row_col is None else F.col(row_col)).alias("row"),
         normalised(F.col(text_col)).cast("binary").alias("content"),
     )
     rows = rows.withColumn("n_blocks", F.greatest(F.lit(1), F.ceil(F.octet_length("content") / size)).cast("int"))
@@ -55,16 +55,19 @@ def _named(distinct: DataFrame, *keys: str) -> DataFrame:
     return distinct.sortWithinPartitions(*keys).withColumn("name", F.monotonically_increasing_id())
 
 
-def exact_dedup(docs: DataFrame, block_size: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_dedup(
+    docs: DataFrame, block_size: int = 2048, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None
+) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Null texts count as empty, and all empty texts are equal. Of rows with the same smallest doc_id, the
     first read stays. A null doc_id ranks last. Other columns of the input are ignored. An empty table
-    gives an empty result.
+    gives an empty result. ``row_col`` names a column of distinct longs; it then orders rows of the same doc_id and
+    comes out with the verdicts.
     """
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
-    blocks = _blocks(docs, block_size, id_col, text_col)
+    blocks = _blocks(docs, block_size, id_col, text_col, row_col)
     names = _named(blocks.select("h", "block").distinct(), "block").select("h", "name").checkpoint()
     same_hash = names.groupBy("h").count().filter("count > 1").select("h").checkpoint()
     single = names.join(same_hash, "h", "left_anti")
@@ -99,6 +102,7 @@ def exact_dedup(docs: DataFrame, block_size: int = 2048, id_col: str = "doc_id",
     rows = heads.join(roots.withColumnRenamed("n_blocks", "blocks"), "row")
     groups = rows.groupBy("blocks", "name").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("group_size"))
     return rows.join(groups, ["blocks", "name"]).select(
+        *([] if row_col is None else [F.col("row").alias(row_col)]),
         "doc_id",
         F.col("first.doc_id").alias("keep_id"),
         "group_size",

@@ -209,12 +209,12 @@ def identify(
     )
 
 
-def identify_documents(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, declared, language, probability, kept of documents (doc_id, text, lang, source)."""
+def identify_documents(docs: DataFrame, carry: tuple[str, ...] = (), **options) -> DataFrame:
+    """doc_id, declared, language, probability, kept of documents (doc_id, text, lang, source), and the columns ``carry``."""
     model = train(docs.select("lang", "text"))
-    rows = docs.select("doc_id", "text", "lang", "source")
+    rows = docs.select(*carry, "doc_id", "text", "lang", "source")
     found = identify(rows, model, declared=F.col("lang"), host=F.col("source"), **options)
-    return found.select("doc_id", F.col("lang").alias("declared"), "language", "probability", "kept")
+    return found.select(*carry, "doc_id", F.col("lang").alias("declared"), "language", "probability", "kept")
 
 
 def identify_pages(pages: DataFrame, docs: DataFrame, **options) -> DataFrame:

@@ -206,6 +206,42 @@ def test_pipeline_stages(spark):
     assert cp.run(spark, SF).count() == docs.count()
 
 
+@pytest.mark.parametrize("stored", [True, False])
+def test_pipeline_stages_judge_rows(spark, tmp_path, stored):
+    """Repeated rows, ids that clash and rows without id: verdicts are on rows, and one of each group stays."""
+    import corpus_pipeline as cp
+
+    rnd = random.Random(11)
+    words = [f"word{i}" for i in range(500)]
+    a, b, c, d, e = (" ".join(rnd.choices(words, k=60)) for _ in range(5))
+    near_b = b + " more"
+    rows = [
+        (1, a), (1, a), (7, a),  # repeated rows and a copy
+        (2, b), (3, near_b), (3, c),  # 3 is also the id of another text
+        (4, d), (None, d), (None, e), (None, e), (None, e + " tail"),
+        (5, "12 34 !!"), (5, "other words of that id"), (None, "12 34 !!"), (6, None),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    if stored:
+        docs.repartition(3).write.parquet(str(tmp_path / "docs"))
+        docs = spark.read.parquet(str(tmp_path / "docs"))
+
+    def left(stage):
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns
+        return collections.Counter((r.doc_id, r.text) for r in out.collect())
+
+    letters = [r for r in rows if r[1] and re.search("[a-z]", r[1])]
+    assert left(cp.language_id) == collections.Counter(letters)
+    firsts = [(1, a), (2, b), (3, near_b), (3, c), (4, d), (None, e), (None, e + " tail"), (5, "12 34 !!"), (5, "other words of that id"), (6, None)]
+    assert left(cp.exact) == collections.Counter(firsts)
+    got = left(cp.near)
+    tails = {(None, e), (None, e + " tail")} & set(got)
+    assert len(tails) == 1 and sum(got[t] for t in tails) == 1
+    got.subtract(tails)
+    assert +got == collections.Counter([(1, a), (2, b), (3, c), (4, d), (5, "12 34 !!"), (5, "other words of that id"), (6, None)])
+
+
 def test_queries_with_sql(spark):
     if not os.path.isdir(SF):
         pytest.skip("no tables")
