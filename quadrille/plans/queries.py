@@ -85,7 +85,7 @@ def tile_bbox_center(spark, d):
 
 
 def _distinct_tiles(spark, d):
-    return tiles_of(spark, d).filter("z % 2 = 0 AND z <= 8").select("z", "x", "y", "h").distinct()
+    return tiles_of(spark, d).select("z", "x", "y", "h").distinct()
 
 
 def tile_children(spark, d):
@@ -120,7 +120,7 @@ def pyramid_of(tiles: DataFrame, levels: int, max_zoom: int) -> DataFrame:
 
 
 def tile_pyramid(spark, d):
-    t = tiles_of(spark, d).filter("z % 2 = 0 AND z <= 6 AND osm_id % 10 = 0").select("z", "x", "y").distinct()
+    t = tiles_of(spark, d).select("z", "x", "y").distinct()
     return pyramid_of(t, 2, 14)
 
 
@@ -442,7 +442,7 @@ def pick_bbox(spark, d):
 
 def info_layers(spark, d):
     """The tile inspector: boundary, bearing and centre of every tile of a pyramid, projected to its root."""
-    t = tiles_of(spark, d).filter("z IN (0, 2, 4)").select("z", "x", "y").distinct()
+    t = tiles_of(spark, d).select("z", "x", "y").distinct()
     rows = pyramid_of(t, 1, 14)
     rows = tile.with_bearing(tile.with_tile_h(rows, F.col("z"), F.col("x"), F.col("y")))
     z, rz = F.col("z"), F.col("root_z")
