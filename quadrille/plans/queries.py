@@ -366,7 +366,7 @@ def include_leaves(spark, d):
 
 
 def tag_projection(spark, d):
-    rows = content.project_tags(_rendered(spark, d).filter("kind <> 'way' OR rule <> 'orders'"))
+    rows = content.project_tags(_rendered(spark, d))
     props = F.array_join(F.transform("props", lambda p: F.concat_ws("=", p["k"], p["v"])), ";")
     return rows.select("kind", "osm_id", "rule", props.alias("props"))
 
