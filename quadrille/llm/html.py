@@ -3,8 +3,9 @@
 A page is a sequence of text blocks, each with its root-to-leaf path of block elements (inline markup is
 part of its block). Per path, text length, punctuation and link text are summed and divided by the number
 of blocks; the ratios are fused to one score, smoothed over neighbouring blocks of the same container, and compared
-with a fraction of the page's mean score. Blocks of passing paths are the article. Elements that say by name, role or
-class that they are not content (nav, footer, aside, form, adverts, comments ...) never reach the ratios.
+with a fraction of the page's mean score. Blocks of passing paths are the article. Elements that say by name or
+role that they are not content (nav, footer, aside, form ...) never reach the ratios, nor do those that say so by class
+or id (adverts, comments ...), unless they hold the page's only article or most of its text.
 
 Everything is per page: no shuffle, and memory for one page.
 """
@@ -20,13 +21,14 @@ from pyspark.sql import DataFrame
 from quadrille.llm.npx import pieces
 from quadrille.llm.remote import remote
 
-RAW = "script|style|noscript|template|svg|iframe|object|canvas|video|audio|math|textarea|select|head|title|button|datalist|map"
+RAW = "script|style|noscript|template|svg|iframe|object|canvas|video|audio|math|textarea|select|title|button|datalist|map"
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|$)|<(?P<raw>{RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)"
     r"(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
     re.S | re.I,
 )
 ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW.split("|")}
+SELF_CLOSED = re.compile(r"^<\w+/>$|[\s\"']/>$")
 ATTR = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 LABEL = re.compile(r"\b(?:class|id)\s*=\s*[\"']?\s*([\w-]+)", re.I)
 INLINE = frozenset(
@@ -43,51 +45,107 @@ HINTS = frozenset(
     "notices popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended "
     "recommendations widget pagination pager toolbar search skip copyright legal disclaimer respond reply replies".split()
 )
+COMMENTS = frozenset("comment comments disqus respond reply replies".split())
+QUALIFIED = frozenset("has no with without".split())  # has-sidebar names a page, not a sidebar
 CLOSED_BY = {  # an open element (first) ends where one of these starts
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "thead", "tfoot"}, "td": {"td", "th", "tr"},
     "th": {"td", "th", "tr"}, "option": {"option"},
 }
+LISTS = frozenset("ul ol dl table".split())
 SCOPES = frozenset("ul ol dl table body article section main div nav aside footer header form".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¡¿]")
 
 
-def _refused(tag: str, attrs: str, inside_article: bool) -> bool:
+def _hint(value: str) -> str:
+    """"comment" or "hint" if one of the names in a class or id says that the element is no content."""
+    for name in value.split():
+        words = set(re.split(r"[^a-z]+", name))
+        if words & QUALIFIED or words & {"work", "works"} and "related" in words:
+            continue
+        if not HINTS.isdisjoint(words):
+            return "hint" if COMMENTS.isdisjoint(words) else "comment"
+    return ""
+
+
+def _refused(tag: str, attrs: str, inside_article: bool) -> str:
+    """"element" if it is no content for sure, "hint" or "comment" if its class or id suggests so, else empty."""
     if tag in REFUSED or (tag == "header" and not inside_article):
-        return True
+        return "element"
     if not attrs.strip():
-        return False
+        return ""
+    found = ""
     for name, a, b, c in ATTR.findall(attrs):
         name, value = name.lower(), (a or b or c).lower()
         if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
-            if not HINTS.isdisjoint(re.split(r"[^a-z]+", value)):
-                return True
+            found = found or _hint(value)
         elif name == "role" and value in ROLES or name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
+            return "element"
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            return "element"
+    return found
+
+
+def _released(found: list[tuple], articles: list[tuple[int, ...]], comments: set[int]) -> set[int]:
+    """Hinted elements that hold the content all the same: the page's only articles, or else most of its text.
+
+    Outermost ones first, until an article or most of the text is free.
+    """
+    out: set[int] = set()
+    while articles:
+        held = [[k for k in inside if k not in out] for inside in articles]
+        if not all(held):
+            return out
+        out |= {inside[0] for inside in held}
+    size = sum(len(x[1]) for x in found)
+    while True:
+        within: dict[int, int] = {}
+        for x in found:
+            for k in [k for k in x[5] if k not in out][:1]:
+                within[k] = within.get(k, 0) + len(x[1])
+        more = {k for k, n in within.items() if 2 * n > size and k not in comments}
+        if not more:
+            return out
+        out |= more
 
 
 def blocks(html: str):
-    """(path, text, link characters) of each block of a page, in order; refused elements are left out."""
+    """(path, text, link characters, links, list, hints) of each block of a page, in order; refused elements are left out.
+
+    ``list`` is a number of the innermost list or table (0: none).
+    """
     stack: list[str] = []  # block elements and links
     labels: list[str] = []  # the same with class or id, which tell containers apart
     refused = 0  # height of the stack at the outermost refused element; 0: none
+    serials: list[int] = []  # a number for each of the stack's elements
+    hinted: list[tuple[int, int]] = []  # height and number of open elements that are refused unless they hold the content
+    comments: set[int] = set()
+    articles: list[tuple[int, ...]] = []  # the hinted elements around each article or main
+    endless: set[str] = set()  # raw elements without a further end
     parts: list[str] = []
-    links = 0
+    links = anchors = last = 0
     found = []
 
+    def enter(name: str, label: str) -> None:
+        nonlocal last
+        last += 1
+        stack.append(name)
+        labels.append(label)
+        serials.append(last)
+
     def flush() -> None:
-        nonlocal links
+        nonlocal links, anchors
         text = " ".join("".join(parts).split())
         parts.clear()
         if text:
-            found.append((tuple(x for x in labels if x != "a"), text, links))
-        links = 0
+            within = next((serials[k] for k in range(len(stack) - 1, -1, -1) if stack[k] in LISTS), 0)
+            found.append((tuple(x for x in labels if x != "a"), text, min(links, len(text)), anchors, within, tuple(k for _, k in hinted)))
+        links = anchors = 0
 
     def leave(height: int) -> None:
         nonlocal refused
-        del stack[height:], labels[height:]
+        del stack[height:], labels[height:], serials[height:]
+        while hinted and hinted[-1][0] > height:
+            hinted.pop()
         if refused > height:
             refused = 0
 
@@ -104,12 +162,22 @@ def blocks(html: str):
             break
         at = m.end()
         if m["raw"]:
-            end = ENDS[m["raw"].lower()].search(html, at)
-            at = end.end() if end else n
+            raw = m["raw"].lower()
+            if raw not in ("script", "style") and SELF_CLOSED.search(m[0]):
+                continue
+            end = ENDS[raw].search(html, at) if raw not in endless else None
+            if end:
+                at = end.end()
+            elif raw in ("script", "style"):
+                at = n
+            else:  # not closed: empty
+                endless.add(raw)
             continue
         if not m["tag"]:
             continue
         tag = m["tag"].lower()
+        if tag == "head":  # holds raw and void elements only, and its end may be missing
+            continue
         if tag in INLINE:
             if tag == "br" and not refused:
                 parts.append(" ")
@@ -118,11 +186,10 @@ def blocks(html: str):
                     if "a" in stack:
                         leave(len(stack) - 1 - stack[::-1].index("a"))
                 elif not refused:
-                    stack.append("a")
-                    labels.append("a")
+                    enter("a", "a")
+                    anchors += 1
             elif not m["close"] and m["attrs"].strip() and not refused and tag not in VOID and _refused(tag, m["attrs"], True):
-                stack.append(tag)
-                labels.append(tag)
+                enter(tag, tag)
                 refused = len(stack)
             elif m["close"] and refused and stack and stack[-1] == tag:
                 leave(len(stack) - 1)
@@ -145,16 +212,25 @@ def blocks(html: str):
                 break
             if stack[k] in SCOPES:
                 break
-        stack.append(tag)
+        inside_article = "article" in stack or "main" in stack
         label = LABEL.search(m["attrs"]) if m["attrs"] else None
-        labels.append(f"{tag}.{label[1].lower()}" if label and tag not in ("article", "main", "p") else tag)
-        if not refused and _refused(tag, m["attrs"], "article" in stack[:-1] or "main" in stack[:-1]):
-            refused = len(stack)
+        enter(tag, f"{tag}.{label[1].lower()}" if label and tag not in ("article", "main", "p") else tag)
+        if not refused:
+            why = _refused(tag, m["attrs"], inside_article)
+            if why == "element":
+                refused = len(stack)
+            elif why:
+                hinted.append((len(stack), last))
+                if why == "comment":
+                    comments.add(last)
+            elif tag in ("article", "main") and not any(_hint((a or b or c).lower()) for name, a, b, c in ATTR.findall(m["attrs"]) if name.lower() in ("class", "id")):
+                articles.append(tuple(k for _, k in hinted))
         if m["attrs"].rstrip().endswith("/"):
             leave(len(stack) - 1)
     if not refused:
         flush()
-    return found
+    free = _released(found, articles, comments)
+    return [x for x in found if free.issuperset(x[5])]
 
 
 def main_blocks(html: str, share: float = 0.15, blur: float = 0.25) -> list[str]:
@@ -162,30 +238,30 @@ def main_blocks(html: str, share: float = 0.15, blur: float = 0.25) -> list[str]
     found = blocks(html)
     if not found:
         return []
-    if any("article" in path for path, _, _ in found):
+    if any("article" in path for path, *_ in found):
         found = [x for x in found if "article" in x[0]]
-    elif any("main" in path for path, _, _ in found):
+    elif any("main" in path for path, *_ in found):
         found = [x for x in found if "main" in x[0]]
     total: dict[tuple, list[float]] = {}
-    for path, text, links in found:
+    for path, text, links, *_ in found:
         x = total.setdefault(path, [0, 0, 0, 0])
         x[0] += len(text)
         x[1] += len(PUNCTUATION.findall(text))
         x[2] += min(links, len(text))
         x[3] += 1
     score = {p: chars / n * (1 + marks / n) * (1 - linked / chars) for p, (chars, marks, linked, n) in total.items()}
-    values = [score[path] for path, _, _ in found]
+    values = [score[path] for path, *_ in found]
     smooth = []
-    for k, (path, _, _) in enumerate(found):
+    for k, (path, *_) in enumerate(found):
         near = [values[j] for j in (k - 1, k + 1) if 0 <= j < len(found) and found[j][0][:-1] == path[:-1]]
         smooth.append(values[k] + blur * sum(near))
-    size = sum(len(text) for _, text, _ in found)
-    mean = sum(v * len(text) for v, (_, text, _) in zip(values, found)) / size
+    size = sum(len(text) for _, text, *_ in found)
+    mean = sum(v * len(text) for v, (_, text, *_) in zip(values, found)) / size
     # a path passes as a whole, by the best of its blocks
     best: dict[tuple, float] = {}
-    for (path, _, _), v in zip(found, smooth):
+    for (path, *_), v in zip(found, smooth):
         best[path] = max(best.get(path, 0), v)
-    return [text for path, text, _ in found if best[path] >= share * mean and score[path] > 0]
+    return [text for path, text, *_ in found if best[path] >= share * mean and score[path] > 0]
 
 
 def _extract(batches, html: str):

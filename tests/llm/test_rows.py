@@ -66,6 +66,29 @@ def test_html(spark):
     assert html.extract_text(df.limit(0)).count() == 0
 
 
+LONG = "A sentence, with marks; and more of it. " * 15
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html><head><title>T</title><body><p>{}</p></html>",
+        "<html><head><meta charset=x><p>{}</p>",
+        "<body><svg width='1' /><p>{}</p><svg><text>no</text></svg>",
+        "<body><iframe src=x><p>{}</p>",
+        "<body><div class='has-sidebar'><article><p>{}</p></article><div class=sidebar><p>no</p></div></div>",
+        "<body><div class='page header-fixed'><article><p>{}</p></article><div class=related><article><p>no</p></article></div></div>",
+        "<body><div class='header-fixed'><p>{}</p></div><div class=comments><p>no</p></div>",
+        "<body><section id=related-work><p>{}</p></section>",
+        "<body><article><p>{}</p></article><div class=related><article><p>no</p></article></div>",
+        "<body><div class=post><p>{}</p></div><div id=comments><article class=comment><p>no</p></article></div>",
+        "<body><p>{}</p><script>no",
+    ],
+)
+def test_html_loses_no_page(page):
+    assert html.main_blocks(page.format(LONG)) == [LONG.strip()]
+
+
 def brute_quality(text):
     words = re.findall("[^\x20\x09-\x0d]+", text)
     grams = list(zip(words, words[1:], words[2:]))
