@@ -2,8 +2,9 @@
 
 A page is a sequence of text blocks, each with its root-to-leaf path of block elements (inline markup is
 part of its block). Per path, text length, punctuation and link text are summed and divided by the number
-of blocks; the ratios are fused to one score, smoothed over neighbouring blocks of the same container, and compared
-with a fraction of the page's mean score. Blocks of passing paths are the article. Elements that say by name or
+of blocks, and the ratios are fused to one score. The container that has most of the score is the article, as is an
+element that says so, and all its blocks are kept but for lists of links; elsewhere a path's score, smoothed over
+neighbouring blocks of the same container, is compared with a fraction of the page's mean. Elements that say by name or
 role that they are not content (nav, footer, aside, form ...) never reach the ratios, nor do those that say so by class
 or id (adverts, comments ...), unless they hold the page's only article or most of its text.
 
@@ -52,6 +53,7 @@ CLOSED_BY = {  # an open element (first) ends where one of these starts
     "th": {"td", "th", "tr"}, "option": {"option"},
 }
 LISTS = frozenset("ul ol dl table".split())
+CONTAINERS = frozenset("html body div section center".split())
 SCOPES = frozenset("ul ol dl table body article section main div nav aside footer header form".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¡¿]")
 
@@ -233,35 +235,63 @@ def blocks(html: str):
     return [x for x in found if free.issuperset(x[5])]
 
 
-def main_blocks(html: str, share: float = 0.15, blur: float = 0.25) -> list[str]:
-    """The texts of the blocks whose paths pass."""
+def _link_lists(found: list[tuple]) -> list[bool]:
+    """For each block, whether it is of a list or table, or a block beside those, of two links or more and little else."""
+    sums: dict = {}
+    keys = [x[4] or -k for k, x in enumerate(found, 1)]
+    for key, (_, text, linked, anchors, *_) in zip(keys, found):
+        x = sums.setdefault(key, [0, 0, 0])
+        x[0] += len(text)
+        x[1] += linked
+        x[2] += anchors
+    return [sums[key][2] > 1 and 10 * sums[key][1] >= 8 * sums[key][0] for key in keys]
+
+
+def main_blocks(html: str, share: float = 0.15, blur: float = 0.25, most: float = 0.8) -> list[str]:
+    """The texts of the blocks of the article, but for lists of links.
+
+    The article is what the page marks as article or main, or else the innermost container that has ``most`` of the
+    page's score, and beside it the paths that pass.
+    """
     found = blocks(html)
     if not found:
         return []
-    if any("article" in path for path, *_ in found):
-        found = [x for x in found if "article" in x[0]]
-    elif any("main" in path for path, *_ in found):
-        found = [x for x in found if "main" in x[0]]
+    for mark in ("article", "main"):
+        if any(mark in x[0] for x in found):
+            found = [x for x in found if mark in x[0]]
+            return [x[1] for x, listed in zip(found, _link_lists(found)) if not listed]
     total: dict[tuple, list[float]] = {}
     for path, text, links, *_ in found:
         x = total.setdefault(path, [0, 0, 0, 0])
         x[0] += len(text)
         x[1] += len(PUNCTUATION.findall(text))
-        x[2] += min(links, len(text))
+        x[2] += links
         x[3] += 1
     score = {p: chars / n * (1 + marks / n) * (1 - linked / chars) for p, (chars, marks, linked, n) in total.items()}
-    values = [score[path] for path, *_ in found]
+    values = [score[x[0]] for x in found]
     smooth = []
     for k, (path, *_) in enumerate(found):
         near = [values[j] for j in (k - 1, k + 1) if 0 <= j < len(found) and found[j][0][:-1] == path[:-1]]
         smooth.append(values[k] + blur * sum(near))
-    size = sum(len(text) for _, text, *_ in found)
-    mean = sum(v * len(text) for v, (_, text, *_) in zip(values, found)) / size
+    size = sum(len(x[1]) for x in found)
+    mean = sum(v * len(x[1]) for v, x in zip(values, found)) / size
     # a path passes as a whole, by the best of its blocks
     best: dict[tuple, float] = {}
-    for (path, *_), v in zip(found, smooth):
-        best[path] = max(best.get(path, 0), v)
-    return [text for path, text, *_ in found if best[path] >= share * mean and score[path] > 0]
+    for x, v in zip(found, smooth):
+        best[x[0]] = max(best.get(x[0], 0), v)
+    # the innermost container with most of the score
+    held: dict[tuple, float] = {(): sum(values)}
+    for path, (*_, n) in total.items():
+        for k in range(1, len(path) + 1):
+            if path[k - 1].partition(".")[0] not in CONTAINERS:
+                break
+            held[path[:k]] = held.get(path[:k], 0) + score[path] * n
+    inner = max((p for p, v in held.items() if v >= most * held[()]), key=len)
+    listed = _link_lists(found)
+    return [
+        x[1] for x, links in zip(found, listed)
+        if x[0][: len(inner)] == inner and not links or best[x[0]] >= share * mean and score[x[0]] > 0
+    ]
 
 
 def _extract(batches, html: str):

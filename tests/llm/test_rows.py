@@ -69,6 +69,16 @@ def test_html(spark):
 LONG = "A sentence, with marks; and more of it. " * 15
 
 
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<main>{}</main>", "<div id=text>{}</div>", "{}"])
+def test_html_keeps_short_blocks_beside_long_ones(wrap):
+    inner = f"""<h2><a href=h>Linked heading</a></h2><p>{LONG}</p><p>{LONG}</p><ul><li>a short item<li>another</ul><table><tr><th>Site</th>
+    <td><a href=s>here</a></td></tr><tr><th>Size</th><td>5 km</td></tr></table><blockquote><p>Short quote</p></blockquote><dl><dt>Term</dt><dd>what it is</dd></dl>
+    <ul><li><a href=1>Other page</a><li><a href=2>Third page</a></ul><p>{LONG}</p>"""
+    long = LONG.strip()
+    want = ["Linked heading", long, long, "a short item", "another", "Site", "here", "Size", "5 km", "Short quote", "Term", "what it is", long]
+    assert html.main_blocks(f"<html><body>{wrap.format(inner)}</body></html>") == want
+
+
 @pytest.mark.parametrize(
     "page",
     [
