@@ -3,7 +3,7 @@
 Four kinds of evidence are added up as logarithms:
 
 - text: a naive Bayes model of byte trigrams, trained here on a bounded sample of rows with a declared
-  language (``train_rows`` per language). Trigrams of a text are not independent, so their mean is weighted by
+  language (``per_language`` different texts each). Trigrams of a text are not independent, so their mean is weighted by
   the root of their number;
 - declared: P(declared markup language | language);
 - suffix: the address's suffix, as the middle level of the prior;
@@ -96,21 +96,37 @@ def _text_evidence(batches, model: Model):
         yield pa.RecordBatch.from_pydict(arrays)
 
 
+def _new_texts(batches):
+    """The rows (lang, _h, text) whose lang and _h have not come before in the partition."""
+    seen: set[tuple] = set()
+    for batch in batches:
+        new = []
+        for k, key in enumerate(zip(batch.column("lang").to_pylist(), batch.column("_h").to_pylist())):
+            if key not in seen:
+                seen.add(key)
+                new.append(k)
+        yield batch.take(pa.array(new, pa.int64()))
+
+
 def train(rows: DataFrame, per_language: int = 400, most_languages: int = 64) -> Model:
-    """A model from ``per_language`` rows of (lang, text) at most, those of least hash, in each language.
+    """A model from ``per_language`` different texts of (lang, text) at most, those of least hash, in each language.
 
-    Fitting takes a bounded sample by intent; the bound is ``per_language`` times ``most_languages`` rows. A hash below
-    the share that is wanted picks them where they are read, so the driver sees about as many rows as it keeps.
+    Fitting takes a bounded sample by intent; the bound is ``per_language`` times ``most_languages`` texts. A hash below
+    the share of different texts that is wanted picks them where they are read, and copies go there and in one small
+    shuffle, so the driver sees about twice as many texts as it keeps.
     """
     labelled = rows.filter("lang IS NOT NULL AND text IS NOT NULL").withColumn("_h", F.xxhash64("lang", "text"))
-    common = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("_h").alias("texts"))
+    common = sizes.orderBy(F.desc("n"), "lang").limit(most_languages).collect()
     if not common:
         return Model([])
     bounds = F.create_map(
-        *[F.lit(x) for lang, n in common for x in (lang, int(-(1 << 63) + ((1 << 64) - 1) * min(1.0, 2 * per_language / n)) if n > 2 * per_language else (1 << 63) - 1)]
+        *[F.lit(x) for lang, _, n in common for x in (lang, int(-(1 << 63) + ((1 << 64) - 1) * min(1.0, 2 * per_language / n)) if n > 2 * per_language else (1 << 63) - 1)]
     )
+    low = labelled.filter(F.col("_h") <= F.try_element_at(bounds, F.col("lang"))).select("lang", "_h", "text")
+    new = low.mapInArrow(remote(__name__, "_new_texts"), "lang string, _h long, text string").dropDuplicates(["lang", "_h"])
     picked: dict[str, list] = {}
-    for r in labelled.filter(F.col("_h") <= F.try_element_at(bounds, F.col("lang"))).select("lang", "_h", "text").toLocalIterator():
+    for r in new.toLocalIterator():
         picked.setdefault(r.lang, []).append((r["_h"], r.text))
     return Model([(lang, text) for lang, found in picked.items() for _, text in sorted(found)[:per_language]])
 
@@ -210,11 +226,22 @@ def identify(
 
 
 def identify_documents(docs: DataFrame, carry: tuple[str, ...] = (), **options) -> DataFrame:
-    """doc_id, declared, language, probability, kept of documents (doc_id, text, lang, source), and the columns ``carry``."""
+    """doc_id, declared, language, probability, kept of documents (doc_id, text, lang, source), and the columns ``carry``.
+
+    A document with letters whose declared language the model lacks is kept as declared, with a null probability.
+    """
     model = train(docs.select("lang", "text"))
     rows = docs.select(*carry, "doc_id", "text", "lang", "source")
     found = identify(rows, model, declared=F.col("lang"), host=F.col("source"), **options)
-    return found.select(*carry, "doc_id", F.col("lang").alias("declared"), "language", "probability", "kept")
+    unknown = F.col("language").isNotNull() & F.col("lang").isNotNull() & ~F.col("lang").isin(model.languages)
+    return found.select(
+        *carry,
+        "doc_id",
+        F.col("lang").alias("declared"),
+        F.when(unknown, F.col("lang")).otherwise(F.col("language")).alias("language"),
+        F.when(~unknown, F.col("probability")).alias("probability"),
+        (F.col("kept") | unknown).alias("kept"),
+    )
 
 
 def identify_pages(pages: DataFrame, docs: DataFrame, **options) -> DataFrame:

@@ -193,6 +193,30 @@ def test_language(spark):
     assert langid.identify_documents(odd.limit(0)).count() == 0
 
 
+def test_language_sample_is_of_different_texts(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(langid, "Model", lambda rows: seen.append(collections.Counter(rows)))
+    # the text of the least hash is the one with many copies
+    texts = [(f"text {chr(97 + k // 26)}{chr(97 + k % 26)} of many",) for k in range(300)]
+    frame = spark.createDataFrame(texts, "text string").select(F.lit("aa").alias("lang"), "text")
+    least = frame.orderBy(F.xxhash64("lang", "text")).limit(1)
+    copies = spark.range(2000).crossJoin(F.broadcast(least)).select("lang", "text")
+    langid.train(frame.unionByName(copies).repartition(3), per_language=20)
+    want = [r.text for r in frame.orderBy(F.xxhash64("lang", "text")).limit(20).collect()]
+    assert seen == [collections.Counter({("aa", t): 1 for t in want})]
+
+
+def test_language_without_model_is_kept(spark, monkeypatch):
+    import functools
+
+    monkeypatch.setattr(langid, "train", functools.partial(langid.train, most_languages=2))
+    docs = [(k, "red blue green " * 20, "aa", "s") for k in range(4)] + [(k, "uno dos tres " * 20, "bb", "s") for k in range(4, 7)]
+    docs += [(7, "zyx wvu qpo " * 20, "cc", "s"), (8, "red blue", "cc", "s"), (9, "12 34", "cc", "s"), (10, None, "cc", None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    rows = {r.doc_id: (r.language, r.kept) for r in langid.identify_documents(df).collect()}
+    assert [rows[k] for k in range(11)] == [("aa", True)] * 4 + [("bb", True)] * 3 + [("cc", True)] * 2 + [(None, False)] * 2
+
+
 def test_language_evidence_adds_up(spark):
     """A text that fits two languages alike follows its declaration, then its host."""
     rows = [("aa", "red blue green " * 20), ("bb", "red blue green " * 20)]
