@@ -25,7 +25,7 @@ def project(z: str, tile: str, loc: str) -> str:
 
 CORNERS = "(VALUES (0, 0, 0), (1, 0, 1), (2, 1, 1), (3, 1, 0)) AS c(place, a, b)"
 GRAND = "(VALUES (0, 0, 0), (1, 0, 1), (2, 1, 1), (3, 1, 0)) AS c(p, a, b), (VALUES (0, 0, 0), (1, 0, 1), (2, 1, 1), (3, 1, 0)) AS g(r, c, d)"
-SMALL = TILES + ", small AS (SELECT DISTINCT z, x, y, h FROM tiles WHERE z % 2 = 0 AND z <= 8)"
+SMALL = TILES + ", small AS (SELECT DISTINCT z, x, y, h FROM tiles)"
 
 
 def pyramid(roots: str, levels: int) -> str:
@@ -108,7 +108,7 @@ WARN = [("layer", n) for n in sorted(set(STAR.layers) - set(STAR.layer_order))]
 FANOUT = "SELECT tile_h, layer_pos, layer, count(*) AS n FROM content JOIN rendered USING (kind, osm_id) JOIN layer_rules USING (rule) WHERE z = 4 GROUP BY ALL"
 
 SQL = {
-    "leaf_counts": q(f"SELECT (hu // {SHIFT})::BIGINT AS tile_h, count(*) AS n FROM nodes WHERE osm_id < 3000000000 GROUP BY 1"),
+    "leaf_counts": q(f"SELECT (hu // {SHIFT})::BIGINT AS tile_h, count(*) AS n FROM nodes GROUP BY 1"),
     "lonlat_to_mercator_xy": q("SELECT osm_id, lon, lat, x, y FROM node_grid"),
     "xy_to_lonlat": q(f"SELECT osm_id, trunc({LON} * 1e7)::BIGINT AS lon, trunc({LAT} * 1e7)::BIGINT AS lat FROM node_grid"),
     "hilbert_encode": q("SELECT osm_id, x, y, h FROM nodes"),
@@ -120,7 +120,7 @@ SQL = {
       x / pow(2.0::DOUBLE, z) AS float_x, y / pow(2.0::DOUBLE, z) AS float_y, 1::BIGINT << z AS axis_tiles, 1::BIGINT << (2 * z) AS all_tiles FROM e"""),
     "tile_children": q(SMALL + f", kids AS (SELECT s.z AS parent_z, h AS parent_h, place, s.z + 1 AS z, x * 2 + a AS x, y * 2 + b AS y FROM small s, {CORNERS})" + tile_h("out", "kids", "parent_z, parent_h, place, z, x, y") + " SELECT * FROM out"),
     "tile_grandchildren": q(SMALL + f", kids AS (SELECT s.z AS parent_z, h AS parent_h, p * 4 + r AS place, s.z + 2 AS z, x * 4 + 2 * a + c AS x, y * 4 + 2 * b + d AS y FROM small s, {GRAND})" + tile_h("out", "kids", "parent_z, parent_h, place, z, x, y") + " SELECT * FROM out"),
-    "tile_pyramid": q(TILES + pyramid("SELECT DISTINCT z, x, y FROM tiles WHERE z % 2 = 0 AND z <= 6 AND osm_id % 10 = 0", 2) + " SELECT * FROM pyramid"),
+    "tile_pyramid": q(TILES + pyramid("SELECT DISTINCT z, x, y FROM tiles", 2) + " SELECT * FROM pyramid"),
     "tile_project": q(f""", p AS (SELECT osm_id, x, y, (osm_id % 15)::INT AS z, lag(x) OVER w AS ox, lag(y) OVER w AS oy FROM nodes WINDOW w AS (PARTITION BY osm_id // 1000 ORDER BY osm_id)),
       t AS (SELECT *, ox >> (32 - z) AS tx, oy >> (32 - z) AS ty FROM p WHERE ox IS NOT NULL)
       SELECT osm_id, z, tx, ty, {project("z", "tx", "x")} AS px, {project("z", "ty", "y")} AS py FROM t"""),
@@ -157,7 +157,7 @@ SQL = {
     "leaf_compose": q("SELECT tile_h, kind, count(*) AS n, bit_xor(osm_id) AS ids FROM at_leaf JOIN rendered USING (kind, osm_id) GROUP BY tile_h, kind"),
     "htile_compose": q("SELECT tile_h, kind, count(*) AS n, bit_xor(osm_id) AS ids FROM content WHERE z = 4 GROUP BY tile_h, kind"),
     "include_leaves": q("SELECT * FROM leaf_counts WHERE tile_h % 7 = 0"),
-    "tag_projection": q(PROPS + " SELECT kind, osm_id, rule, string_agg(k || '=' || p.v, ';' ORDER BY p) AS props FROM props p JOIN rendered USING (kind, osm_id) WHERE kind <> 'way' OR rule <> 'orders' GROUP BY kind, osm_id, rule"),
+    "tag_projection": q(PROPS + " SELECT kind, osm_id, rule, string_agg(k || '=' || p.v, ';' ORDER BY p) AS props FROM props p JOIN rendered USING (kind, osm_id) GROUP BY kind, osm_id, rule"),
     "layer_fanout": q(FANOUT),
     "feature_geometry": q(GEOMETRY + " SELECT tile_h, kind, osm_id, string_agg(tx || ' ' || ty, ',' ORDER BY pos) AS path FROM leaf_points GROUP BY tile_h, kind, osm_id"),
     "geometry_type": q(PATHS + " SELECT osm_id, type FROM types"),
@@ -170,7 +170,7 @@ SQL = {
       FROM shown JOIN layer_rules USING (rule) JOIN sizes USING (tile_h) GROUP BY tile_h, layer, bytes"""),
     "style_filter": q(PATHS + " SELECT osm_id, type, v AS status FROM types JOIN tags USING (osm_id) WHERE kind = 'way' AND k = 'status' AND v = 'O' AND type IN (2, 3)"),
     "pick_bbox": q(GEOMETRY + " SELECT DISTINCT kind, osm_id FROM leaf_points WHERE tx BETWEEN 4056 AND 4136 OR ty BETWEEN 4056 AND 4136"),
-    "info_layers": q(TILES + pyramid("SELECT DISTINCT z, x, y FROM tiles WHERE z IN (0, 2, 4)", 1) + tile_h("pyr", "pyramid", "root_z, root_x, root_y, z, x, y")
+    "info_layers": q(TILES + pyramid("SELECT DISTINCT z, x, y FROM tiles", 1) + tile_h("pyr", "pyramid", "root_z, root_x, root_y, z, x, y")
       + ", b0 AS (SELECT row_number() OVER () AS b, * FROM pyr)" + bearing("b0") + f""", g AS (SELECT b0.*, bearing, x << (32 - z) AS nx, y << (32 - z) AS ny, 4294967295 >> z AS ext FROM b0 JOIN bearings USING (b))
       SELECT root_z, root_x, root_y, z, x, y, h, bearing, {project("root_z", "root_x", "nx")} AS west, {project("root_z", "root_y", "ny")} AS north,
       {project("root_z", "root_x", "(nx + ext)")} AS east, {project("root_z", "root_y", "(ny + ext)")} AS south, {project("root_z", "root_x", "(nx + ext // 2)")} AS center_x,
