@@ -2,7 +2,8 @@
 
 Two tiers. A pre-token that is itself in the vocabulary is resolved by a minimal perfect hash (hash,
 displace, verify the bytes), for a whole batch at once. Only the others are merged: a heap of pairs by rank
-over a linked list of bytes, O(n log n) for a pre-token of n bytes, once per different pre-token.
+over a linked list of bytes, O(n log n) for a pre-token of n bytes, once per different pre-token of a batch (told
+apart by their bytes).
 
 Pre-tokens follow the pattern published with the vocabulary,
 ``'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+``; their borders are
@@ -21,9 +22,10 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from quadrille.llm.npx import POLY, U, column_bytes, mix, pieces, ragged
+from quadrille.llm.npx import U, column_bytes, mix, pieces, ragged, span_names
 from quadrille.llm.remote import remote
 
 SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -185,11 +187,18 @@ class Vocabulary:
 
     @staticmethod
     def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        values = data.astype(U) + U(1)
-        return tuple(p.spans(p.prefix(values), start, end) ^ (end - start).astype(U) for p in POLY)
+        return tuple(span_names(data, start, end, k) for k in range(2))
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts of a column, and how many each has."""
+        """All ids of the texts of a column, and how many each has. Copies that follow one another are encoded once."""
+        if len(column) > 1:
+            same = pc.equal(column.slice(1), column.slice(0, len(column) - 1)).fill_null(False).to_numpy(zero_copy_only=False)
+            if same.any():
+                new = np.append(True, ~same)
+                ids, sizes = self.encode(column.filter(pa.array(new)))
+                which = np.cumsum(new) - 1
+                counts = sizes[which]
+                return ids[np.repeat((np.cumsum(sizes) - sizes)[which], counts) + ragged(counts)], counts
         data, offsets = column_bytes(column)
         start, per_text = pretokens(data, offsets)
         if not len(start):
@@ -207,22 +216,23 @@ class Vocabulary:
         miss = np.flatnonzero(~known)
         counts = np.ones(len(start), np.int64)
         if len(miss):
-            pair = np.empty(len(miss), dtype=[("a", U), ("b", U)])
-            pair["a"], pair["b"] = h1[miss], h2[miss]
-            _, first, which = np.unique(pair["a"], return_index=True, return_inverse=True)
-            if (pair["b"][first][which] != pair["b"]).any():
-                _, first, which = np.unique(pair, return_index=True, return_inverse=True)
             if len(self.cache) > CACHE:
                 self.cache.clear()
             cache, ranks, raw, merged = self.cache, self.ranks, data.tobytes(), []
-            for s, e in zip(start[miss[first]].tolist(), end[miss[first]].tolist()):
+            places: dict[bytes, int] = {}  # misses are one where their bytes are
+            which = np.empty(len(miss), np.int64)
+            for k, (s, e) in enumerate(zip(start[miss].tolist(), end[miss].tolist())):
                 piece = raw[s:e]
-                ids = cache.get(piece)
-                if ids is None:
-                    ids = merge(piece, ranks)
-                    if e - s <= 64:
-                        cache[piece] = ids
-                merged.append(ids)
+                place = places.get(piece)
+                if place is None:
+                    place = places[piece] = len(merged)
+                    ids = cache.get(piece)
+                    if ids is None:
+                        ids = merge(piece, ranks)
+                        if e - s <= 64:
+                            cache[piece] = ids
+                    merged.append(ids)
+                which[k] = place
             sizes = np.fromiter(map(len, merged), np.int64, len(merged))
             flat = np.fromiter((i for ids in merged for i in ids), np.int32, int(sizes.sum()))
             counts[miss] = sizes[which]
@@ -252,13 +262,17 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def _encode(batches, path: str, text: str):
+def _encode(batches, path: str, text: str, proof: bool):
     words = vocabulary(path)
     for batch in pieces(batches, text):
         ids, counts = words.encode(batch.column(text))
+        at = np.append(0, np.cumsum(counts))
         arrays = dict(zip(batch.schema.names, batch.columns))
-        arrays["token_ids"] = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(ids))
         arrays.pop(text)
+        arrays["token_ids"] = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids))
+        if proof:
+            arrays["n_tokens"] = pa.array(counts, pa.int64())
+            arrays["decoded_sha256"] = pa.array([hashlib.sha256(t).hexdigest() for t in _texts(words, ids, at)])
         yield pa.RecordBatch.from_pydict(arrays)
 
 
@@ -301,14 +315,16 @@ def _schema(df: DataFrame, drop: str, *extra: str) -> str:
     return ", ".join([*kept, *extra])
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, text_col: str = "text", proof: bool = False) -> DataFrame:
     """``docs`` with ``token_ids`` (array<int>) in place of the text column; a null text has no ids.
 
-    Texts are encoded as ordinary text, without special tokens. Rows are independent: repeated rows and empty
-    tables need no care. An existing column token_ids is replaced.
+    With ``proof`` also n_tokens, and decoded_sha256 of the bytes that the ids decode to. Texts are encoded as ordinary
+    text, without special tokens. Rows are independent: repeated rows and empty tables need no care. Existing columns of
+    those names are replaced.
     """
-    rows = docs.drop("token_ids") if text_col != "token_ids" else docs
-    return rows.mapInArrow(remote(__name__, "_encode", path=path, text=text_col), _schema(rows, text_col, "token_ids array<int>"))
+    new = ["token_ids array<int>", *(["n_tokens long", "decoded_sha256 string"] if proof else [])]
+    rows = docs.drop(*({x.split()[0] for x in new} - {text_col}))
+    return rows.mapInArrow(remote(__name__, "_encode", path=path, text=text_col, proof=proof), _schema(rows, text_col, *new))
 
 
 def decode(tokens: DataFrame, path: str) -> DataFrame:

@@ -8,8 +8,11 @@ Sets of similarity s share a table unless no A or no B agrees: about 2 (1 - s^r)
 2. Rows (key, document) are shuffled once and sorted; a stream over each bucket pairs its members with the
    smallest: as many candidates as members, whatever the bucket's size.
 3. Candidates are confirmed on full shingle sets, and links merge into components.
-4. A bucket whose members are not one component yet gets the pairs between its components (not
-   those within), so no link between components is missed where a bucket holds both ends.
+4. Members of buckets that are not one component yet are joined by the prefix filter, which is exact: two sets can
+   only be similar if they share one of their rarest shingles, early enough in both (rare ones first) that what
+   follows it can still make up the overlap that their sizes ask for. Only such pairs of different components are
+   confirmed. Documents of one template whose similarity is below the threshold differ in more shingles than the
+   prefix is long, so their prefixes have nothing in common and their number of pairs doesn't grow.
 
 Sets are collected only for documents that share a bucket with another.
 """
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.llm.components import connected_components
-from quadrille.llm.npx import U, Words, mix, pieces, signed, windows
+from quadrille.llm.npx import U, Words, mix, pieces, ragged, signed, windows
 from quadrille.llm.remote import remote
 from quadrille.session import ensure_checkpoint_dir
 
@@ -160,36 +163,105 @@ def _confirm(batches, percent: int):
         yield pa.RecordBatch.from_pydict({c: batch.column(c).take(pa.array(keep, pa.int64())) for c in ("a", "b")})
 
 
-def _between(batches, percent: int):
-    """Pairs of a bucket's members in different components whose sizes allow a link; the first member's are known.
+def _prefixes(batches, percent: int):
+    """Tokens (shingle, size, most, doc_id, component) of each document's prefix.
 
-    Rows come sorted by key, component and doc_id; a bucket is held as arrays, its pairs go out in blocks.
+    ``shared`` holds the shingles that other open documents have too, as (count, shingle) in ascending order; the
+    rest come before them. A set x can be similar to y only if they have ``percent (|x| + |y|) / (100 + percent)`` shingles
+    in common; if the first of them is at place p of x, then |x| + |y| is at most ``most`` = (|x| - p) (100 + percent) / percent.
     """
+    for batch in batches:
+        sizes = batch.column("n_shingles").to_numpy()
+        lists = batch.column("shared")
+        counts = lists.value_lengths().to_numpy(zero_copy_only=False)
+        place = np.repeat(sizes - counts, counts) + ragged(counts)
+        size = np.repeat(sizes, counts)
+        most = (size - place) * (100 + percent) // percent
+        # the smallest partner has percent of the size
+        some = np.flatnonzero(100 * (most - size) >= percent * size)
+        row = np.repeat(np.arange(len(sizes)), counts)[some]
+        yield pa.RecordBatch.from_pydict(
+            {
+                "shingle": lists.flatten().field("s").take(pa.array(some)),
+                "size": pa.array(size[some]),
+                "most": pa.array(most[some]),
+                "doc_id": batch.column("doc_id").take(pa.array(row)),
+                "component": batch.column("component").take(pa.array(row)),
+            }
+        )
+
+
+def _plausible(batches):
+    """Pairs of different components that share a token early enough; rows come sorted by shingle and size.
 
-    def emit(ids, comps, sizes):
-        known = ids != ids.min()
-        ids, comps, sizes = ids[known], comps[known], sizes[known]
-        later = np.searchsorted(comps, comps, "right")
-        for i in range(len(ids)):
-            lo = later[i]
-            fit = (100 * np.minimum(sizes[lo:], sizes[i]) >= percent * np.maximum(sizes[lo:], sizes[i])).nonzero()[0] + lo
-            if len(fit):
-                a, b = np.minimum(ids[i], ids[fit]), np.maximum(ids[i], ids[fit])
-                yield pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b)})
-
-    held = None
+    Each row meets the smaller ones before it that may still be similar to it. Those are held by component, in order
+    of size, and let go once nothing later can be similar to them: time and memory follow the pairs that are made.
+    """
+    a: list[int] = []
+    b: list[int] = []
+    shingle, open_ = None, {}  # component: rows (size, largest partner, doc_id), and the size of its first
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(c).to_numpy() for c in ("key", "doc_id", "component", "n_shingles")]
-        if held is not None:
-            columns = [np.concatenate(x) for x in zip(held, columns)]
-        cuts = np.flatnonzero(np.diff(columns[0])) + 1
-        for lo, hi in zip(np.append(0, cuts[:-1]), cuts):
-            yield from emit(*(c[lo:hi] for c in columns[1:]))
-        held = [c[cuts[-1] if len(cuts) else 0 :] for c in columns]
-    if held is not None:
-        yield from emit(*held[1:])
+        columns = (batch.column(c).to_pylist() for c in ("shingle", "size", "most", "doc_id", "component"))
+        for token, size, most, doc_id, component in zip(*columns):
+            if token != shingle:
+                shingle, open_ = token, {}
+            reach = most - size
+            gone = []
+            for other, (least, held) in open_.items():
+                if least > reach:
+                    break
+                if other == component:
+                    continue
+                k, late = 0, False
+                for n, until, partner in held:
+                    if n > reach:
+                        break
+                    k += 1
+                    if until < size:
+                        late = True
+                    else:
+                        a.append(min(doc_id, partner))
+                        b.append(max(doc_id, partner))
+                if late:
+                    held[:k] = [x for x in held[:k] if x[1] >= size]
+                    if not held:
+                        gone.append(other)
+            for other in gone:
+                del open_[other]
+            if reach >= size:  # may meet one of its size or more
+                open_.setdefault(component, (size, []))[1].append((size, reach, doc_id))
+        if len(a) > 10_000:
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            a, b = [], []
+    if a:
+        yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _members(batches):
+    """(doc_id, s) for each shingle of a set."""
+    for batch in batches:
+        raw = [x.as_buffer() for x in batch.column("shingles")]
+        counts = np.array([len(x) for x in raw], np.int64) // 8
+        values = np.frombuffer(b"".join(raw), np.int64)
+        ids = np.repeat(batch.column("doc_id").to_numpy(), counts)
+        for at in range(0, len(values), 1 << 17):
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids[at : at + (1 << 17)]), "s": pa.array(values[at : at + (1 << 17)])})
+
+
+def _crossing(open_: DataFrame, sets: DataFrame, percent: int, width: int) -> DataFrame:
+    """Pairs (a, b) of open documents (doc_id, component, n_shingles) in different components that may be similar."""
+    members = sets.join(open_.select("doc_id"), "doc_id", "left_semi").mapInArrow(remote(__name__, "_members"), "doc_id long, s long")
+    counts = members.groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = members.join(counts, "s").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("n", "s"))).alias("shared"))
+    tokens = shared.join(open_, "doc_id").select("doc_id", "component", "n_shingles", "shared")
+    shape = "shingle long, size long, most long, doc_id long, component long"
+    return (
+        tokens.mapInArrow(remote(__name__, "_prefixes", percent=percent), shape)
+        .repartition(width, "shingle")
+        .sortWithinPartitions("shingle", "size")
+        .mapInArrow(remote(__name__, "_plausible"), "a long, b long")
+        .distinct()
+    )
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -246,17 +318,9 @@ def near_duplicates(
     )
     split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"))
     split = split.filter("lo < hi AND n > 2").select("key")
-    open_ = placed.join(split, "key", "left_semi").join(sizes, "doc_id").checkpoint()
+    open_ = placed.join(split, "key", "left_semi").select("doc_id", "component").distinct().join(sizes, "doc_id").checkpoint()
     if not open_.isEmpty():
-        pairs = (
-            open_.distinct()
-            .repartition(width, "key")
-            .sortWithinPartitions("key", "component", "doc_id")
-            .select("key", "doc_id", "component", "n_shingles")
-            .mapInArrow(remote(__name__, "_between", percent=percent), "a long, b long")
-            .distinct()
-        )
-        more = _links(pairs, sets, percent).checkpoint()
+        more = _links(_crossing(open_, sets, percent, width), sets, percent).checkpoint()
         if not more.isEmpty():
             found = connected_components(links.unionByName(more))
 

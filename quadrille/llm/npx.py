@@ -1,12 +1,15 @@
 """Vectorised byte, word and window hashing for Arrow batches.
 
-All hashes are polynomials over the ring of 64-bit integers with an odd base: the hash of any
-substring follows from two prefix sums and the inverse power of the base, so hashing every window of a
-text costs one cumulative sum. Two independent bases give 128 bits.
+Two kinds. Names, which stand for words and runs of words, are made with a non-linear step per eight bytes and per
+doubling of a run (long words by BLAKE2); two independent lanes give 128 bits. Grams, which only decide where something
+is looked for and never whether it is equal, are polynomials over the ring of 64-bit integers: the gram of any byte
+string follows from two prefix sums, but such hashes collide on strings made for it, for every base.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -14,6 +17,7 @@ U = np.uint64
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+LONG = 64  # bytes of a word from which BLAKE2 takes over
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -116,19 +120,61 @@ class Words:
         self.row = np.repeat(np.arange(len(column)), self.counts)
 
     def hashes(self, which: int = 0) -> np.ndarray:
-        poly = POLY[which]
-        prefix = poly.prefix(self.data.astype(U) + U(1))
-        length = (self.end - self.start).astype(U)
-        return mix(poly.spans(prefix, self.start, self.end) ^ (length * U(0x9E3779B97F4A7C15)))
+        """A 64-bit name of each word in lane ``which``."""
+        return span_names(self.data, self.start, self.end, which)
+
+
+def span_names(data: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+    """64-bit names of byte spans: eight bytes at a time, each mixed in before the next."""
+    factor = U(BASES[which])
+    length = end - start
+    out = mix(length.astype(U) * factor + U(which + 1))
+    if not len(start):
+        return out
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+    some = np.flatnonzero((length > 0) & (length <= LONG))
+    at, left = start[some], length[some]
+    while len(some):
+        value = eight[at]
+        part = left < 8
+        value[part] &= (U(1) << (left[part] * 8).astype(U)) - U(1)
+        out[some] = mix((out[some] ^ value) * factor + U(0xD6E8FEB86659FD93))
+        more = left > 8
+        some, at, left = some[more], at[more] + 8, left[more] - 8
+    long = np.flatnonzero(length > LONG)
+    if len(long):
+        raw, salt = data.tobytes(), bytes([which])
+        for k, a, b in zip(long.tolist(), start[long].tolist(), end[long].tolist()):
+            out[k] = int.from_bytes(hashlib.blake2b(raw[a:b], digest_size=8, salt=salt).digest(), "little")
+    return out
+
+
+def windows(names: np.ndarray, size: int, which: int = 0) -> np.ndarray:
+    """Name of each ``size`` consecutive names, by doubling; empty if there are fewer."""
+    n = len(names)
+    if n < size:
+        return np.zeros(0, U)
+    factor = U(BASES[which])
+    out, step = names, 1
+    while 2 * step <= size:
+        out = mix(out[:-step] * factor + out[step:])
+        step *= 2
+    rest = size - step
+    if rest:
+        m = n - size + 1
+        out = mix(out[:m] * factor + out[rest : rest + m] + U(rest))
+    return out
 
 
-def windows(values: np.ndarray, size: int, which: int = 0) -> np.ndarray:
-    """Hash of each ``size`` consecutive values; empty if there are fewer."""
-    if len(values) < size:
+def grams(data: np.ndarray, size: int) -> np.ndarray:
+    """Gram of each ``size`` consecutive bytes; empty if there are fewer."""
+    if len(data) < size:
         return np.zeros(0, U)
-    poly = POLY[which]
-    prefix = poly.prefix(values)
-    at = np.arange(len(values) - size + 1)
+    poly = POLY[0]
+    prefix = poly.prefix(data.astype(U) + U(1))
+    at = np.arange(len(data) - size + 1)
     return poly.spans(prefix, at, at + size)
 
 

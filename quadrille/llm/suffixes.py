@@ -12,8 +12,9 @@ strings have at the same place. Only minimizers that occur twice need a suffix a
    (suffixes and the lengths of common prefixes). A stack scan yields the intervals of common prefixes, that is the
    nodes of the suffix tree; those whose members have different bytes on their left are the maximal repeats.
    Each gives its whole group of occurrences, and all but the earliest lose the repeat.
-4. A bucket with more different contexts than fit in a block leaves by another exact way: its windows
-   are named by 128-bit hashes, sorted by name, and all but the first of a name go.
+4. A bucket with more different contexts than fit in a block is split by what its strings have in common besides the
+   gram: those with the gram in their first half share the bytes that follow it, the others the bytes before it. The
+   parts are buckets like any other and go through 3 again, at most seven times over.
 
 Texts that equal a smaller doc_id's collapse before this.
 """
@@ -24,15 +25,16 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.npx import POLY, U, column_bytes, mix, pieces, ragged, signed, sliding_argmin, windows
+from quadrille.llm.npx import POLY, U, column_bytes, grams, mix, pieces, ragged, signed, sliding_argmin
 from quadrille.llm.remote import remote
 from quadrille.session import ensure_checkpoint_dir
 
 GRAM = 24
-BLOCK = 1 << 20  # bytes of contexts in one suffix array
+BLOCK = 1 << 20  # bytes of contexts to gather for suffix arrays
 PIECE = 1 << 19
 
 
@@ -54,7 +56,7 @@ class _Anchored:
     def __init__(self, column: pa.Array, size: int) -> None:
         self.data, self.offsets = column_bytes(column)
         gram = min(GRAM, size)
-        self.grams = windows(self.data.astype(U) + U(1), gram)
+        self.grams = grams(self.data, gram)
         self.best = sliding_argmin(self.grams, size - gram + 1)
         row = np.repeat(np.arange(len(column), dtype=np.int32), np.diff(self.offsets))
         self.inside = row[: len(self.best)] == row[size - 1 :] if len(self.best) else np.zeros(0, bool)
@@ -176,183 +178,234 @@ def maximal_repeats(data: np.ndarray, suffix: np.ndarray, end: np.ndarray, left:
             yield length, order[lo : hi + 1]
 
 
-class _Block:
-    """Contexts of whole buckets, until their suffix array is built."""
-
-    def __init__(self, size: int) -> None:
-        self.size = size
-        self.clear()
-
-    def clear(self) -> None:
-        self.parts, self.ids, self.start, self.lead, self.group, self.bytes = [], [], [], [], [], 0
-
-    def add(self, context: bytes, doc_id: int, start: int, lead: int, group: int) -> None:
-        self.parts.append(context)
-        self.ids.append(doc_id)
-        self.start.append(start)
-        self.lead.append(lead)
-        self.group.append(group)
-        self.bytes += len(context)
-
-    def spans(self):
-        """(doc_id, from, to) of the bytes that repeat something earlier."""
-        size = self.size
-        data = np.frombuffer(b"".join(self.parts), np.uint8)
-        lengths = np.fromiter(map(len, self.parts), np.int64, len(self.parts))
-        base = np.cumsum(lengths) - lengths
-        count = lengths - size + 1
-        owner = np.repeat(np.arange(len(lengths)), count)
-        inner = ragged(count)
-        suffix = base[owner] + inner
-        group, lead = np.array(self.group), np.array(self.lead)
-        # equal strings have their minimizer at the same place, so gram and place make the bucket
-        place = (group[owner] << 32) + (lead[owner] - inner)
-        poly = POLY[0]
-        prefix = poly.prefix(data.astype(U) + U(1))
-        name = mix(poly.spans(prefix, suffix, suffix + size) ^ mix(place.astype(U)))
-        order = np.argsort(name, kind="stable")
-        same = name[order][1:] == name[order][:-1]
-        twice = np.zeros(len(name), bool)
-        twice[order[1:][same]] = twice[order[:-1][same]] = True
-        some = np.flatnonzero(twice)
-        ids, start = np.array(self.ids), np.array(self.start)
-        found: list[tuple[int, int, int]] = []
-        if len(some):
-            _, bucket = np.unique(place[some], return_inverse=True)
-            by_bucket = np.argsort(bucket, kind="stable")
-            some, bucket = some[by_bucket], bucket[by_bucket]
-            cuts = [0]
-            firsts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
-            for f in firsts[1:].tolist():  # whole buckets, about 16,000 suffixes at a time
-                if f - cuts[-1] >= 1 << 14 or f == len(bucket):
-                    cuts.append(f)
-            for lo, hi in zip(cuts, cuts[1:]):
-                part = some[lo:hi]
-                own, at = owner[part], suffix[part]
-                end = base[own] + lengths[own]
-                left = np.where(inner[part] > 0, data[np.maximum(at - 1, 0)].astype(np.int16), -1)
-                doc, where = ids[own], start[own] + inner[part]
-                for length, members in maximal_repeats(data, at, end, left, bucket[lo:hi], size, int((end - at).max())):
-                    d, w = doc[members], where[members]
-                    earliest = np.lexsort((w, d))[0]
-                    later = (d != d[earliest]) | (w != w[earliest])
-                    found += zip(d[later].tolist(), w[later].tolist(), (w[later] + length).tolist())
-        return found
-
-
-def _rows(spans, named=()):
-    kinds = [len(spans), len(named)]
-    doc = [s[0] for s in spans] + [n[2] for n in named]
-    lo = [s[1] for s in spans] + [n[3] for n in named]
-    hi = [s[2] for s in spans] + [n[3] for n in named]
-    names = [[None] * kinds[0] + [n[k] for n in named] for k in range(2)]
-    return pa.RecordBatch.from_pydict(
-        {
-            "doc_id": pa.array(doc, pa.int64()),
-            "from": pa.array(lo, pa.int32()),
-            "to": pa.array(hi, pa.int32()),
-            "name_a": pa.array(names[0], pa.int64()),
-            "name_b": pa.array(names[1], pa.int64()),
-        }
-    )
-
+def _lengths(context: pa.Array) -> np.ndarray:
+    return pc.binary_length(context).to_numpy(zero_copy_only=False).astype(np.int64)
 
-def _named(context: bytes, doc_id: int, start: int, size: int):
-    values = np.frombuffer(context, np.uint8).astype(U) + U(1)
-    a, b = (signed(windows(values, size, k)).tolist() for k in range(2))
-    return [(x, y, doc_id, start + k) for k, (x, y) in enumerate(zip(a, b))]
 
+def _block_repeats(rows: pa.RecordBatch, size: int):
+    """(length, members, owner, inner) of the maximal repeats of buckets of different contexts.
 
-def _merge(spans):
+    ``rows`` come sorted by gram. Members index the suffixes, which are given by the row that owns them and the place in it.
+    """
+    gram, lead, context = rows.column("gram").to_numpy(), rows.column("lead").to_numpy().astype(np.int64), rows.column("context")
+    lengths = _lengths(context)
+    data = np.frombuffer(b"".join(context.to_pylist()), np.uint8)
+    base = np.cumsum(lengths) - lengths
+    count = lengths - size + 1
+    owner = np.repeat(np.arange(len(lengths)), count)
+    inner = ragged(count)
+    suffix = base[owner] + inner
+    group = np.cumsum(np.append(True, gram[1:] != gram[:-1]))
+    # equal strings have their minimizer at the same place, so gram and place make the bucket
+    place = (group[owner] << 32) + (lead[owner] - inner)
+    poly = POLY[0]
+    prefix = poly.prefix(data.astype(U) + U(1))
+    name = mix(poly.spans(prefix, suffix, suffix + size) ^ mix(place.astype(U)))
+    order = np.argsort(name, kind="stable")
+    same = name[order][1:] == name[order][:-1]
+    twice = np.zeros(len(name), bool)
+    twice[order[1:][same]] = twice[order[:-1][same]] = True
+    some = np.flatnonzero(twice)
+    if not len(some):
+        return
+    _, bucket = np.unique(place[some], return_inverse=True)
+    by_bucket = np.argsort(bucket, kind="stable")
+    some, bucket = some[by_bucket], bucket[by_bucket]
+    cuts = [0]
+    firsts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
+    for f in firsts[1:].tolist():  # whole buckets, about 16,000 suffixes at a time
+        if f - cuts[-1] >= 1 << 14 or f == len(bucket):
+            cuts.append(f)
+    for lo, hi in zip(cuts, cuts[1:]):
+        part = some[lo:hi]
+        own, at = owner[part], suffix[part]
+        end = base[own] + lengths[own]
+        left = np.where(inner[part] > 0, data[np.maximum(at - 1, 0)].astype(np.int16), -1)
+        for length, members in maximal_repeats(data, at, end, left, bucket[lo:hi], size, int((end - at).max())):
+            yield length, own[members], inner[part][members]
+
+
+def _merged(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Joined spans of each document."""
-    out: list[list[int]] = []
-    for d, lo, hi in sorted(spans):
-        if out and out[-1][0] == d and out[-1][2] >= lo:
-            out[-1][2] = max(out[-1][2], hi)
-        else:
-            out.append([d, lo, hi])
-    return out
-
-
-def _repeats(batches, size: int, most: int):
-    """Spans to remove, or window names for buckets of over ``most`` bytes of different contexts.
-
-    Rows come sorted by gram, lead, context, doc_id and start.
+    if not len(doc):
+        return doc, lo, hi
+    order = np.lexsort((lo, doc))
+    doc, lo, hi = doc[order], lo[order].astype(np.int64), hi[order].astype(np.int64)
+    shift = np.cumsum(np.append(0, doc[1:] != doc[:-1])) << 32
+    reach = np.maximum.accumulate(hi + shift)
+    new = np.append(True, (lo + shift)[1:] > reach[:-1])
+    return doc[new], lo[new], (reach - shift)[np.append(new[1:], True)]
+
+
+SPANS = "doc_id long, `from` int, `to` int, gram long, low int, high int, lead int, context binary, start int"
+
+
+def _span_rows(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
+    doc, lo, hi = _merged(doc, lo, hi)
+    found = {"doc_id": pa.array(doc, pa.int64()), "from": pa.array(lo, pa.int32()), "to": pa.array(hi, pa.int32())}
+    none = {"gram": pa.int64(), "low": pa.int32(), "high": pa.int32(), "lead": pa.int32(), "context": pa.binary(), "start": pa.int32()}
+    return pa.RecordBatch.from_pydict({**found, **{c: pa.nulls(len(doc), t) for c, t in none.items()}})
+
+
+def _parts(rows: pa.RecordBatch, low: int, high: int, size: int) -> pa.RecordBatch:
+    """The contexts of a bucket whose strings have the gram at the places ``low`` to ``high``, as rows of two smaller ones."""
+    mid = (low + high) // 2
+    out: dict[str, list] = {c: [] for c in ("doc_id", "gram", "low", "high", "lead", "context", "start")}
+    for g, lead, context, doc_id, start in zip(*(rows.column(c).to_pylist() for c in ("gram", "lead", "context", "doc_id", "start"))):
+        for a, b in ((low, mid), (mid + 1, high)):
+            first, last = max(0, lead - b), min(len(context) - size, lead - a)
+            if first > last:
+                continue
+            common = context[lead - a : lead + size - b]  # what all strings with the gram at these places hold
+            key = hashlib.blake2b(b"%d,%d,%d;" % (g, a, b) + common, digest_size=8).digest()
+            values = (doc_id, int.from_bytes(key, "little", signed=True), a, b, lead - first, context[first : last + size], start + first)
+            for column, value in zip(out.values(), values):
+                column.append(value)
+    types = {"doc_id": pa.int64(), "gram": pa.int64(), "low": pa.int32(), "high": pa.int32(), "lead": pa.int32(), "context": pa.binary(), "start": pa.int32()}
+    found = {c: pa.array(out[c], t) for c, t in types.items()}
+    nothing = pa.nulls(len(out["gram"]), pa.int32())
+    return pa.RecordBatch.from_pydict({"doc_id": found.pop("doc_id"), "from": nothing, "to": nothing, **found})
+
+
+class _Buckets:
+    """Buckets from a stream of rows sorted by gram, lead, context, doc_id and start.
+
+    Subclasses say what becomes of a row that repeats the context before it, of the different contexts of whole
+    buckets, and of the rows of a bucket with over ``most`` bytes of them.
     """
-    block, spans, named = _Block(size), [], []
-    gram = before = None
-    open_from = 0  # where the current bucket begins in the block
-    spilled = False
-    group = own = 0
-
-    def close_bucket():
-        # a bucket of one context has nothing more to tell
-        if len(block.parts) - open_from < 2:
-            while len(block.parts) > open_from:
-                block.bytes -= len(block.parts.pop())
-                for column in (block.ids, block.start, block.lead, block.group):
-                    column.pop()
 
-    for batch in batches:
-        columns = (batch.column(c).to_pylist() for c in ("gram", "lead", "context", "doc_id", "start"))
-        for g, lead, context, doc_id, start in zip(*columns):
-            if g != gram:
-                close_bucket()
-                gram, before, spilled = g, None, False
-                group += 1
-                if block.bytes >= BLOCK:
-                    spans += block.spans()
-                    block.clear()
-                open_from = len(block.parts)
-                own = 0
-            if before == (lead, context):
-                spans.append((doc_id, start, start + len(context)))
-            else:
-                before = (lead, context)
-                if spilled:
-                    named += _named(context, doc_id, start, size)
-                else:
-                    block.add(context, doc_id, start, lead, group)
-                    own += len(context)
-                    if own > most:
-                        for k in range(open_from, len(block.parts)):
-                            named += _named(block.parts[k], block.ids[k], block.start[k], size)
-                        for column in (block.parts, block.ids, block.start, block.lead, block.group):
-                            del column[open_from:]
-                        block.bytes -= own
-                        spilled = True
-            if len(spans) > 50_000 or len(named) > 50_000:
-                yield _rows(_merge(spans), named)
-                spans, named = [], []
-    close_bucket()
-    if block.parts:
-        spans += block.spans()
-    if spans or named:
-        yield _rows(_merge(spans), named)
-
-
-def _settled(batches, size: int):
-    """Spans as they are, and one for each named window but the first of its name.
-
-    Rows come sorted by name, doc_id and from; a row without a name is a span.
-    """
-    last = None
-    for batch in batches:
-        keep, to = [], []
-        columns = (batch.column(c).to_pylist() for c in ("name_a", "name_b", "from", "to"))
-        for k, (a, b, lo, hi) in enumerate(zip(*columns)):
-            if a is None:
-                keep.append(k)
-                to.append(hi)
-            elif (a, b) == last:
-                keep.append(k)
-                to.append(lo + size)
-            else:
-                last = (a, b)
-        rows = pa.array(keep, pa.int64())
-        yield pa.RecordBatch.from_pydict(
-            {"doc_id": batch.column("doc_id").take(rows), "from": batch.column("from").take(rows), "to": pa.array(to, pa.int32())}
-        )
+    def __init__(self, size: int, most: int, low: int, high: int) -> None:
+        self.size, self.most, self.range = size, most, (low, high)
+
+    def range_of(self, rows: pa.RecordBatch) -> tuple[int, int]:
+        return (rows.column("low")[0].as_py(), rows.column("high")[0].as_py()) if "low" in rows.schema.names else self.range
+
+    def run(self, batches):
+        held = large = None
+        waiting: list[pa.RecordBatch] = []
+        weight = 0
+
+        def whole(rows: pa.RecordBatch):
+            gram = rows.column("gram").to_numpy()
+            new = np.append(True, gram[1:] != gram[:-1])
+            sizes = np.diff(np.append(np.flatnonzero(new), len(gram)))
+            several = rows.filter(pa.array(np.repeat(sizes > 1, sizes)))
+            if several.num_rows:
+                yield from self.buckets(several)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            gram, lead, context = batch.column("gram").to_numpy(), batch.column("lead").to_numpy(), batch.column("context")
+            n = len(gram)
+            same = np.zeros(n, bool)
+            same[1:] = (gram[1:] == gram[:-1]) & (lead[1:] == lead[:-1])
+            same[1:] &= pc.equal(context.slice(1), context.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+            same[0] = held is not None and held == (gram[0], lead[0], context[0].as_py())
+            held = gram[-1], lead[-1], context[-1].as_py()
+            if same.any():
+                yield from self.copies(batch.filter(pa.array(same)))
+            rows = batch.filter(pa.array(~same))
+            if large is not None and rows.num_rows:
+                more = rows.column("gram").to_numpy() == large
+                if more.any():
+                    yield from self.oversize(rows.filter(pa.array(more)))
+                    rows = rows.filter(pa.array(~more))
+                if rows.num_rows:
+                    large = None
+            if not rows.num_rows:
+                continue
+            waiting.append(rows)
+            weight += int(_lengths(rows.column("context")).sum())
+            if weight < min(BLOCK, self.most):
+                continue
+            rows = pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+            gram = rows.column("gram").to_numpy()
+            cut = int(np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))[-1])
+            if cut:
+                yield from whole(rows.slice(0, cut))
+            rest = rows.slice(cut)
+            weight = int(_lengths(rest.column("context")).sum())
+            waiting = [rest]
+            low, high = self.range_of(rest)
+            if weight > self.most and low < high:
+                yield from self.oversize(rest)
+                large, waiting, weight = gram[-1], [], 0
+        if waiting:
+            yield from whole(pa.Table.from_batches(waiting).combine_chunks().to_batches()[0])
+
+
+class _Spans(_Buckets):
+    """What goes, as spans; and the parts of buckets that are too large."""
+
+    def copies(self, rows):
+        start = rows.column("start").to_numpy()
+        yield _span_rows(rows.column("doc_id").to_numpy(), start, start + _lengths(rows.column("context")))
+
+    def buckets(self, rows):
+        ids, start = rows.column("doc_id").to_numpy(), rows.column("start").to_numpy()
+        found = [(np.zeros(0, np.int64),) * 3]
+        for length, own, inner in _block_repeats(rows, self.size):
+            d, w = ids[own], start[own] + inner
+            first = np.lexsort((w, d))[0]
+            later = (d != d[first]) | (w != w[first])
+            found.append((d[later], w[later], w[later] + length))
+        yield _span_rows(*(np.concatenate(c) for c in zip(*found)))
+
+    def oversize(self, rows):
+        yield _parts(rows, *self.range_of(rows), self.size)
+
+
+class _Groups(_Buckets):
+    """Repeats as (repeat, length, copy, offset), and the rows (copy, doc_id, start) of each context, by its number."""
+
+    def rows(self, **columns):
+        shape = {"repeat": pa.binary(), "length": pa.int32(), "copy": pa.binary(), "offset": pa.int32(), "doc_id": pa.int64(), "start": pa.int32()}
+        n = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_pydict({c: pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in shape.items()})
+
+    @staticmethod
+    def numbers(rows):
+        names = zip(*(rows.column(c).to_pylist() for c in ("gram", "lead", "context")))
+        return [hashlib.blake2b(b"%d,%d;" % (g, lead) + context, digest_size=16).digest() for g, lead, context in names]
+
+    def run(self, batches):
+        # every occurrence is told of; a context with copies is itself a repeat of them
+        def told():
+            for batch in batches:
+                names = self.numbers(batch)
+                self.out.append(self.rows(copy=names, doc_id=batch.column("doc_id").to_numpy(), start=batch.column("start").to_numpy()))
+                yield batch
+
+        self.out: list[pa.RecordBatch] = []
+        for found in super().run(told()):
+            yield from self.out
+            self.out = []
+            yield found
+        yield from self.out
+
+    def copies(self, rows):
+        names = self.numbers(rows)
+        yield self.rows(repeat=names, length=_lengths(rows.column("context")), copy=names, offset=[0] * len(names))
+
+    def buckets(self, rows):
+        names, contexts = self.numbers(rows), rows.column("context").to_pylist()
+        for length, own, inner in _block_repeats(rows, self.size):
+            text = contexts[own[0]][inner[0] : inner[0] + length]
+            name = hashlib.blake2b(text, digest_size=16).digest()
+            yield self.rows(repeat=[name] * len(own), length=[length] * len(own), copy=[names[k] for k in own.tolist()], offset=inner)
+
+    def oversize(self, rows):
+        yield from self.buckets(rows)
+
+
+def _repeats(batches, size: int, most: int, high: int):
+    """Spans to remove, and parts of buckets of over ``most`` bytes of different contexts."""
+    return _Spans(size, most, 0, high).run(batches)
+
+
+def _repeat_groups(batches, size: int, most: int, high: int):
+    return _Groups(size, most, 0, high).run(batches)
 
 
 def _cut(batches):
@@ -361,7 +414,9 @@ def _cut(batches):
         for text, spans in zip(batch.column("text"), batch.column("spans")):
             raw = text.as_buffer().to_pybytes()
             out, at, gone, n = [], 0, 0, 0
-            for _, lo, hi in _merge((0, s["from"], s["to"]) for s in spans.as_py() or ()):
+            found = spans.as_py() or ()
+            lows, highs = (np.array([x[c] for x in found], np.int64) for c in ("from", "to"))
+            for lo, hi in zip(*(c.tolist() for c in _merged(np.zeros(len(found), np.int64), lows, highs)[1:])):
                 out.append(raw[at:lo])
                 gone, n, at = gone + hi - lo, n + 1, hi
             out.append(raw[at:])
@@ -380,27 +435,22 @@ def _cut(batches):
         )
 
 
-def suffix_dedup(
-    docs: DataFrame, size: int = 100, block_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """One row per input row: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (the bytes left).
-
-    A byte goes if a string of ``size`` bytes that covers it also starts earlier: in a smaller doc_id, or before in
-    the same text. A null text is empty. Texts without a doc_id lose nothing and take nothing. Rows that
-    repeat a doc_id are expected to repeat its text, and get the same result each. Other columns are ignored; an
-    empty table gives an empty result. ``kept`` may be null where nothing was removed; then ``sha`` is the whole text's.
-
-    Texts are shuffled by doc_id once; all passes over them read that one exchange.
-    """
+def _texts(docs: DataFrame, size: int, id_col: str, text_col: str):
+    """(every row, its facts with the first doc_id of the same text, the texts that can hold or lose a string)."""
     ensure_checkpoint_dir(docs.sparkSession)
-    width = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     every = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     facts = every.mapInArrow(remote(__name__, "_facts"), "doc_id long, n_bytes long, sha string").checkpoint()
     firsts = facts.groupBy("sha").agg(F.min("doc_id").alias("first"))
     facts = facts.join(firsts, "sha").checkpoint()
     able = F.coalesce((F.col("doc_id") == F.col("first")) & (F.col("n_bytes") >= size), F.lit(False))
-    texts = every.join(facts.filter(able).select("doc_id").distinct(), "doc_id").select("doc_id", "text")
+    return every, facts, every.join(facts.filter(able).select("doc_id").distinct(), "doc_id").select("doc_id", "text"), able
+
 
+CONTEXTS = "gram long, lead int, context binary, doc_id long, start int"
+
+
+def _sorted_contexts(texts: DataFrame, size: int, width: int) -> DataFrame:
+    """The contexts of grams that occur twice, by bucket."""
     places = (
         texts.mapInArrow(remote(__name__, "_occurrences", size=size), "gram long, doc_id long, pos int")
         .repartition(width, "gram")
@@ -409,22 +459,52 @@ def suffix_dedup(
         .groupBy("doc_id")
         .agg(F.collect_list("pos").alias("places"))
     )
-    contexts = texts.join(places, "doc_id").mapInArrow(
-        remote(__name__, "_contexts", size=size), "gram long, lead int, context binary, doc_id long, start int"
-    )
-    found = (
-        contexts.repartition(width, "gram")
-        .sortWithinPartitions("gram", "lead", "context", "doc_id", "start")
-        .mapInArrow(
-            remote(__name__, "_repeats", size=size, most=block_bytes),
-            "doc_id long, `from` int, `to` int, name_a long, name_b long",
-        )
-    )
-    spans = (
-        found.repartition(width, F.coalesce("name_a", "doc_id"))
-        .sortWithinPartitions("name_a", "name_b", "doc_id", "from")
-        .mapInArrow(remote(__name__, "_settled", size=size), "doc_id long, `from` int, `to` int")
-    )
+    contexts = texts.join(places, "doc_id").mapInArrow(remote(__name__, "_contexts", size=size), CONTEXTS)
+    return contexts.repartition(width, "gram").sortWithinPartitions("gram", "lead", "context", "doc_id", "start")
+
+
+def repeat_groups(docs: DataFrame, size: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(repeat, length, doc_id, start): the maximal repeats of ``size`` bytes or more, each with all its occurrences.
+
+    A repeat is maximal within the strings that share a minimizer, so a longer passage is told of as a chain of
+    overlapping ones. Texts that equal a smaller doc_id's, null and short ones are left out.
+    """
+    _, _, texts, _ = _texts(docs, size, id_col, text_col)
+    width = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    shape = "repeat binary, length int, copy binary, offset int, doc_id long, start int"
+    rows = _sorted_contexts(texts, size, width).mapInArrow(
+        remote(__name__, "_repeat_groups", size=size, most=1 << 62, high=size - min(GRAM, size)), shape
+    ).checkpoint()
+    repeats = rows.filter("repeat IS NOT NULL").select("repeat", "length", "copy", "offset").distinct()
+    where = rows.filter("repeat IS NULL").select("copy", "doc_id", "start")
+    return repeats.join(where, "copy").select(
+        F.hex("repeat").alias("repeat"), "length", "doc_id", (F.col("start") + F.col("offset")).alias("start")
+    ).distinct()
+
+
+def suffix_dedup(
+    docs: DataFrame, size: int = 100, block_bytes: int = 2 << 20, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row per input row: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (the bytes left).
+
+    A byte goes if a string of ``size`` bytes that covers it also starts earlier: in a smaller doc_id, or before in
+    the same text. A null text is empty. Texts without a doc_id lose nothing and take nothing. Rows that
+    repeat a doc_id are expected to repeat its text, and get the same result each. Other columns are ignored; an
+    empty table gives an empty result. ``kept`` may be null where nothing was removed; then ``sha`` is the whole text's.
+
+    Texts are shuffled by doc_id once; all passes over them read that one exchange.
+    """
+    every, facts, texts, able = _texts(docs, size, id_col, text_col)
+    width = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    repeats = remote(__name__, "_repeats", size=size, most=block_bytes, high=size - min(GRAM, size))
+    found = _sorted_contexts(texts, size, width).mapInArrow(repeats, SPANS).checkpoint()
+    spans = found.filter("gram IS NULL").select("doc_id", "from", "to")
+    parts = found.filter("gram IS NOT NULL")
+    while not parts.isEmpty():  # of buckets that were too large; their range of places halves each time
+        by_gram = parts.drop("from", "to").repartition(width, "gram").sortWithinPartitions("gram", "lead", "context", "doc_id", "start")
+        found = by_gram.mapInArrow(repeats, SPANS).checkpoint()
+        spans = spans.unionByName(found.filter("gram IS NULL").select("doc_id", "from", "to"))
+        parts = found.filter("gram IS NOT NULL")
     per_text = spans.groupBy("doc_id").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
     cut = texts.join(per_text, "doc_id", "left").mapInArrow(
         remote(__name__, "_cut"), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"

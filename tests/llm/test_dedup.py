@@ -168,9 +168,9 @@ def brute_bytes(docs, size):
     return out
 
 
-@pytest.mark.parametrize("most", [8 << 20, 200])
+@pytest.mark.parametrize("most", [2 << 20, 300])
 def test_suffixes(spark, most):
-    """Also with every larger bucket leaving by the other way."""
+    """Also with every larger bucket split, over and over."""
     rows = suffixes.suffix_dedup_report(frame(spark, DOCS), block_bytes=most).collect()
     want = brute_bytes(DOCS, 100)
     assert len(rows) == len(DOCS)
@@ -181,6 +181,63 @@ def test_suffixes(spark, most):
             assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id]
 
 
+def stream(rows, size):
+    """Rows in the order of the buckets, in batches of ``size``."""
+    rows = sorted(rows, key=lambda r: (r["gram"], r["lead"], r["context"], r["doc_id"], r["start"]))
+    shape = pa.schema([("gram", pa.int64()), ("lead", pa.int32()), ("context", pa.binary()), ("doc_id", pa.int64()), ("start", pa.int32()), ("low", pa.int32()), ("high", pa.int32())])
+    return [pa.RecordBatch.from_pylist(rows[k : k + size], schema=shape) for k in range(0, len(rows), size)]
+
+
+@pytest.mark.parametrize("batch", [1, 7, 1000])
+@pytest.mark.parametrize("most", [1, 300, 10**9])
+def test_split_buckets_lose_nothing(monkeypatch, batch, most):
+    """One gram with many surroundings: the spans are the same however its bucket is split."""
+    monkeypatch.setattr(suffixes, "BLOCK", 1)
+    rnd, size, gram = random.Random(batch), 12, b"GRAM"
+    rows = []
+    for d in range(120):
+        left, right = (bytes(rnd.choices(b"ab", k=8)) for _ in range(2))
+        first, last = rnd.randint(0, 3), rnd.randint(4, 8)
+        rows.append({"gram": 5, "lead": 8 - first, "context": (left + gram + right)[first : last + size], "doc_id": d // 2, "start": 100 * (d % 2) + first, "low": 0, "high": 8})
+    seen, want = {}, set()
+    for r in sorted(rows, key=lambda r: (r["doc_id"], r["start"])):
+        for k in range(len(r["context"]) - size + 1):
+            key = r["context"][k : k + size]
+            if seen.setdefault((key, r["lead"] - k), (r["doc_id"], r["start"])) != (r["doc_id"], r["start"]):
+                want |= {(r["doc_id"], r["start"] + k + j) for j in range(size)}
+    got, rounds = set(), 0
+    while rows:
+        out = [r for b in suffixes._repeats(iter(stream(rows, batch)), size, most, 8) for r in b.to_pylist()]
+        got |= {(r["doc_id"], j) for r in out if r["gram"] is None for j in range(r["from"], r["to"])}
+        rows = [r for r in out if r["gram"] is not None]
+        rounds += 1
+    assert got == want and rounds <= 5 and (rounds > 1) == (most < 10**9)
+
+
+def test_repeat_groups(spark):
+    """Each string that repeats lies in a group, and a group holds all of its places."""
+    docs = [d for d in DOCS if d[0] is not None][:60]
+    texts = {}
+    for i, t in sorted(docs):
+        if (t or "").encode() not in texts.values():
+            texts.setdefault(i, (t or "").encode())
+    places = {}
+    for i, raw in texts.items():
+        for k in range(len(raw) - 99):
+            places.setdefault(raw[k : k + 100], set()).add((i, k))
+    groups = {}
+    for r in suffixes.repeat_groups(frame(spark, docs)).collect():
+        groups.setdefault((r["repeat"], r.length), set()).add((r.doc_id, r.start))
+    told = {}
+    for (_, n), members in groups.items():
+        pieces = {texts[d][s : s + n] for d, s in members}
+        assert len(pieces) == 1 and len(members) > 1
+        piece = pieces.pop()
+        for k in range(n - 99):
+            told.setdefault(piece[k : k + 100], set()).update((d, s + k) for d, s in members)
+    assert told == {piece: at for piece, at in places.items() if len(at) > 1}
+
+
 def test_maximal_repeats_give_all_occurrences():
     import numpy as np
 
@@ -208,3 +265,81 @@ def test_repeated_stream_keeps_state_between_batches():
 @pytest.mark.parametrize("run", [exact_dedup.exact_dedup, minhash.near_duplicates, substring.substring_dedup, suffixes.suffix_dedup_report])
 def test_empty_table(spark, run):
     assert run(frame(spark, EMPTY)).count() == 0
+
+
+def twins(n=1024):
+    """Two different words of two letters that every polynomial modulo 2^64 hashes alike."""
+    bits = [bin(k).count("1") & 1 for k in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_names_tell_twins_apart(spark):
+    x, y = twins()
+    tail = " ".join(f"t{i}" for i in range(60))
+    docs = [(1, f"{x} {tail}"), (2, f"{y} {tail}"), (3, x), (4, y), (5, f"{x} {y}"), (6, f"{x} {x}")]
+    near = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(frame(spark, docs), percent=99, shingle=1).collect()}
+    assert near == {1: (61, 1), 2: (61, 2), 3: (1, 3), 4: (1, 4), 5: (2, 5), 6: (1, 3)}
+    cut = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.substring_dedup(frame(spark, docs)).collect()}
+    assert cut == brute_windows(docs, 50)
+
+
+def template(n, own=17, shared=100):
+    """Documents of one template, each pair just too different for 0.85."""
+    text = [f"t{k}" for k in range(shared)]
+    return [(i, " ".join(text + [f"d{i}x{k}" for k in range(own)])) for i in range(n)]
+
+
+def test_near_pairs_of_a_template_do_not_grow(spark, monkeypatch):
+    counts = []
+    links = minhash._links
+
+    def counted(pairs, sets, percent):
+        counts.append(pairs.count())
+        return links(pairs, sets, percent)
+
+    monkeypatch.setattr(minhash, "_links", counted)
+    for n in (100, 400):
+        counts.clear()
+        rows = minhash.near_duplicates(frame(spark, template(n)), percent=85, shingle=1).collect()
+        assert all(r.component_id == r.doc_id for r in rows)
+        # each table's buckets pair with their first; between components nothing is plausible
+        assert counts[0] <= 81 * n and sum(counts[1:]) == 0
+
+
+def test_near_joins_across_components_of_a_template(spark):
+    """Documents that do link, among many of the same template that don't."""
+    docs = template(150)
+    for k in range(0, 150, 10):
+        docs.append((1000 + k, docs[k][1] + " extra"))
+    docs += [(2000 + k, docs[k][1].replace(f"d{k}x3 ", "changed ")) for k in range(0, 150, 15)]
+    want = brute_near(docs, 1, 85)
+    rows = minhash.near_duplicates(frame(spark, docs), percent=85, shingle=1).collect()
+    assert {r.doc_id: r.component_id for r in rows} == {i: c for i, (_, c) in want.items()}
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85])
+def test_prefix_filter_is_exact(percent):
+    """Every pair at the threshold is among the plausible ones, whatever the sizes."""
+    import collections
+
+    rnd = random.Random(percent)
+    base = rnd.sample(range(1000), 60)
+    sets = []
+    for _ in range(80):
+        kept = rnd.sample(base, rnd.randint(20, 60))
+        sets.append(sorted({*kept, *rnd.sample(range(1000, 1100), rnd.randint(0, 15))}))
+    count = collections.Counter(x for s in sets for x in s)
+    shared = [sorted(({"n": count[x], "s": x} for x in s if count[x] > 1), key=lambda e: (e["n"], e["s"])) for s in sets]
+    shape = pa.list_(pa.struct([("n", pa.int64()), ("s", pa.int64())]))
+    batch = pa.RecordBatch.from_pydict(
+        {"doc_id": pa.array(range(80)), "component": pa.array([k // 4 for k in range(80)]), "n_shingles": pa.array(list(map(len, sets))), "shared": pa.array(shared, shape)}
+    )
+    tokens = [r for b in minhash._prefixes([batch], percent) for r in b.to_pylist()]
+    tokens.sort(key=lambda r: (r["shingle"], r["size"]))
+    stream = [pa.RecordBatch.from_pylist(tokens[k : k + 50]) for k in range(0, len(tokens), 50)]
+    got = {(r["a"], r["b"]) for b in minhash._plausible(stream) for r in b.to_pylist()}
+    for j in range(80):
+        for i in range(j):
+            both = len(set(sets[i]) & set(sets[j]))
+            if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both) and i // 4 != j // 4:
+                assert (i, j) in got
