@@ -5,8 +5,9 @@ Every turn gets the hash of the turns up to it: a running xor, within the conver
 that are salted with the turn's place. A conversation whose last hash is some longer conversation's inner hash is a
 prefix of it and goes (an anti-join); of equal conversations the smallest id stays. What remains is rendered.
 
-One window pass per conversation, then joins on fixed-width hashes: texts are shuffled once, by conv_id. The window is a
-running one, so a long conversation is read as a stream; only rendering holds a conversation whole.
+One window pass per conversation, then joins on fixed-width hashes: texts are shuffled once, by conversation, and the
+anti-join's result meets them where they lie. The window is a running one, so a long conversation is read as a stream; only
+rendering holds a conversation whole.
 """
 
 from __future__ import annotations
@@ -17,9 +18,12 @@ from pyspark.sql import functions as F
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
+CONVERSATION = ["_id", "_none"]  # conv_id, and whether it is null: plain keys, so that one partitioning serves all steps
+
+
 def prefix_hashes(turns: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text) with pos, hash_a, hash_b (of the turns up to it) and last."""
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    """(_id, _none, turn, role, text) with pos, hash_a, hash_b (of the turns up to it) and last."""
+    order = Window.partitionBy(*CONVERSATION).orderBy("turn", "role", "text")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     rows = turns.withColumn("pos", F.row_number().over(order))
     told = (F.col("role").isNull(), F.coalesce("role", F.lit("")), F.col("text").isNull(), F.coalesce("text", F.lit("")))
@@ -29,17 +33,16 @@ def prefix_hashes(turns: DataFrame) -> DataFrame:
 
 
 def collapse(conversations: DataFrame) -> DataFrame:
-    """The turns of maximal conversations: conv_id, pos, role, text, n_turns."""
-    names = ("conv_id", "turn", "role", "text")
-    turns = prefix_hashes(conversations.select(*names))
+    """The turns of maximal conversations: _id, _none, pos, role, text, n_turns."""
+    conv_id = F.col("conv_id")
+    unknown = F.lit(0).cast(conversations.schema["conv_id"].dataType)
+    turns = prefix_hashes(conversations.select(F.coalesce(conv_id, unknown).alias("_id"), conv_id.isNull().alias("_none"), "turn", "role", "text"))
     key = ["pos", "hash_a", "hash_b"]
     inner = turns.filter(~F.col("last")).select(*key).distinct()
-    whole = turns.filter("last").select("conv_id", *key).join(inner, key, "left_anti")
-    unknown = F.max(F.col("conv_id").isNull()).alias("unknown")  # a null id stays only where there is no other
-    kept = whole.groupBy(*key).agg(F.min("conv_id").alias("kept_id"), unknown)
-    kept = kept.select("kept_id", F.col("pos").alias("n_turns"))
-    same = turns["conv_id"].eqNullSafe(kept["kept_id"])
-    return turns.join(kept, same).select("conv_id", "pos", "role", "text", "n_turns")
+    whole = turns.filter("last").select(*CONVERSATION, *key).join(inner, key, "left_anti")
+    kept = whole.groupBy(*key).agg(F.min(F.struct("_none", "_id")).alias("first"))  # a null id stays only where there is no other
+    kept = kept.select("first.*", F.col("pos").alias("n_turns"))
+    return turns.join(kept, CONVERSATION).select(*CONVERSATION, "pos", "role", "text", "n_turns")
 
 
 def _plain(text: Column) -> Column:
@@ -57,10 +60,10 @@ def render(conversations: DataFrame) -> DataFrame:
     empty result.
     """
     turn = F.concat(F.lit(OPEN), F.coalesce("role", F.lit("unknown")), F.lit("\n"), _plain(F.col("text")), F.lit(CLOSE), F.lit("\n"))
-    rows = collapse(conversations).select("conv_id", "n_turns", F.struct("pos", turn.alias("line")).alias("line"))
+    rows = collapse(conversations).select(*CONVERSATION, "n_turns", F.struct("pos", turn.alias("line")).alias("line"))
     lines = F.array_sort(F.collect_list("line"))
-    return rows.groupBy("conv_id", "n_turns").agg(lines.alias("lines")).select(
-        "conv_id", F.col("n_turns").cast("long").alias("n_turns"), F.array_join(F.col("lines.line"), "").alias("rendered")
+    return rows.groupBy(*CONVERSATION).agg(F.first("n_turns").cast("long").alias("n_turns"), lines.alias("lines")).select(
+        F.when(~F.col("_none"), F.col("_id")).alias("conv_id"), "n_turns", F.array_join(F.col("lines.line"), "").alias("rendered")
     )
 
 
