@@ -8,7 +8,7 @@ neighbouring blocks of the same container, is compared with a fraction of the pa
 role that they are not content (nav, footer, aside, form ...) never reach the ratios, nor do those that say so by class
 or id (adverts, comments ...), unless they hold the page's only article or most of its text.
 
-Everything is per page: no shuffle, and memory for one page.
+Everything is per page: no shuffle, and memory for one page. Time is linear in the page's length, whatever its markup.
 """
 
 from __future__ import annotations
@@ -23,13 +23,13 @@ from quadrille.llm.npx import pieces
 from quadrille.llm.remote import remote
 
 RAW = "script|style|noscript|template|svg|iframe|object|canvas|video|audio|math|textarea|select|title|button|datalist|map"
-TOKEN = re.compile(
-    rf"<!--.*?(?:-->|$)|<(?P<raw>{RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)"
-    r"(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
-    re.S | re.I,
-)
+RAWS = frozenset(RAW.split("|"))
+NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+# attributes to the end of the tag; a quote counts only after an equals sign
+ATTRS = re.compile(r"(?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+>")
+DEPTH = 512  # elements nested deeper are taken as siblings, as browsers do
 ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW.split("|")}
-SELF_CLOSED = re.compile(r"^<\w+/>$|[\s\"']/>$")
+SELF_CLOSED = re.compile(r"^/$|[\s\"']/$")
 ATTR = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 LABEL = re.compile(r"\b(?:class|id)\s*=\s*[\"']?\s*([\w-]+)", re.I)
 INLINE = frozenset(
@@ -92,31 +92,96 @@ def _released(found: list[tuple], articles: list[tuple[int, ...]], comments: set
 
     Outermost ones first, until an article or most of the text is free.
     """
-    out: set[int] = set()
-    while articles:
-        held = [[k for k in inside if k not in out] for inside in articles]
-        if not all(held):
-            return out
-        out |= {inside[0] for inside in held}
+    if articles:
+        least = min(map(len, articles))
+        return {k for inside in articles for k in inside[:least]}
     size = sum(len(x[1]) for x in found)
+    total: dict[int, int] = {}
+    above: dict[int, int] = {}
+    for x in found:
+        for k, parent in zip(x[5], (0, *x[5])):
+            total[k] = total.get(k, 0) + len(x[1])
+            above[k] = parent
+    out: set[int] = set()
+    for k in sorted(total):  # outer ones have lower numbers
+        if 2 * total[k] > size and k not in comments and (not above[k] or above[k] in out):
+            out.add(k)
+    return out
+
+
+class Paths:
+    """The tag paths of a page as a tree: numbers for paths, with their parents. 0 is the empty path."""
+
+    def __init__(self) -> None:
+        self.numbers: dict[tuple[int, str], int] = {}
+        self.parent, self.marks, self.box, self.depth = [0], [frozenset()], [True], [0]
+
+    def child(self, path: int, tag: str, label: str) -> int:
+        found = self.numbers.get((path, label))
+        if found is None:
+            found = self.numbers[path, label] = len(self.parent)
+            self.parent.append(path)
+            self.marks.append(self.marks[path] | {tag} if tag in ("article", "main") else self.marks[path])
+            self.box.append(self.box[path] and tag in CONTAINERS)
+            self.depth.append(self.depth[path] + 1)
+        return found
+
+
+def tokens(html: str):
+    """(text before, tag or "", closing, attributes, end) of each tag, comment or declaration; text alone at the end.
+
+    One pass: what has no end (comments, tags) is looked for once, and quotes that never close don't count from then on.
+    The consumer sends the place to go on from where it is not ``end`` (raw elements).
+    """
+    at, n = 0, len(html)
+    begin = 0  # of the text before
+    last_gt = html.rfind(">")
+    quoted = True
     while True:
-        within: dict[int, int] = {}
-        for x in found:
-            for k in [k for k in x[5] if k not in out][:1]:
-                within[k] = within.get(k, 0) + len(x[1])
-        more = {k for k, n in within.items() if 2 * n > size and k not in comments}
-        if not more:
-            return out
-        out |= more
+        at = html.find("<", at)
+        if at < 0:
+            break
+        if at > last_gt and not html.startswith("<!--", at):
+            at += 1
+            continue
+        name, closing, attrs = "", False, ""
+        if html.startswith("<!--", at):
+            end = html.find("-->", at + 4)
+            end = n if end < 0 else end + 3
+        else:
+            closing = html.startswith("/", at + 1)
+            m = NAME.match(html, at + 1 + closing)
+            if m:
+                name = m[0].lower()
+                end = html.find(">", m.end()) + 1
+                plain = html[m.end() : end - 1]
+                if quoted and ("\"" in plain or "'" in plain):
+                    whole = ATTRS.match(html, m.end())
+                    if whole:
+                        end = whole.end()
+                    else:
+                        quoted = False
+                attrs = html[m.end() : end - 1]
+            elif closing or html.startswith(("!", "?"), at + 1):
+                end = html.find(">", at) + 1
+            else:
+                at += 1
+                continue
+        jump = yield html[begin:at], name, closing, attrs, end
+        at = begin = end if jump is None else jump
+        if jump is not None:
+            yield None
+    yield html[begin:], "", False, "", n
 
 
-def blocks(html: str):
+def blocks(html: str) -> tuple[list[tuple], Paths]:
     """(path, text, link characters, links, list, hints) of each block of a page, in order; refused elements are left out.
 
-    ``list`` is a number of the innermost list or table (0: none).
+    ``path`` is a number of the paths that come along; class or id tell containers apart in it. ``list`` is a number of
+    the innermost list or table (0: none).
     """
     stack: list[str] = []  # block elements and links
-    labels: list[str] = []  # the same with class or id, which tell containers apart
+    paths, path = Paths(), [0]  # path[k]: of the k outermost elements
     refused = 0  # height of the stack at the outermost refused element; 0: none
     serials: list[int] = []  # a number for each of the stack's elements
     hinted: list[tuple[int, int]] = []  # height and number of open elements that are refused unless they hold the content
@@ -131,7 +196,7 @@ def blocks(html: str):
         nonlocal last
         last += 1
         stack.append(name)
-        labels.append(label)
+        path.append(path[-1] if name == "a" else paths.child(path[-1], name, label))
         serials.append(last)
 
     def flush() -> None:
@@ -140,70 +205,71 @@ def blocks(html: str):
         parts.clear()
         if text:
             within = next((serials[k] for k in range(len(stack) - 1, -1, -1) if stack[k] in LISTS), 0)
-            found.append((tuple(x for x in labels if x != "a"), text, min(links, len(text)), anchors, within, tuple(k for _, k in hinted)))
+            found.append((path[-1], text, min(links, len(text)), anchors, within, tuple(k for _, k in hinted)))
         links = anchors = 0
 
     def leave(height: int) -> None:
         nonlocal refused
-        del stack[height:], labels[height:], serials[height:]
+        del stack[height:], path[height + 1 :], serials[height:]
         while hinted and hinted[-1][0] > height:
             hinted.pop()
         if refused > height:
             refused = 0
 
-    at, n = 0, len(html)
-    while at < n:
-        m = TOKEN.search(html, at)
-        piece = html[at : m.start()] if m else html[at:]
+    deeper = 0  # elements open beyond the depth
+    stream = tokens(html)
+    for piece, tag, closing, attrs, end in stream:
         if piece and not refused:
             text = unescape(piece)
             parts.append(text)
             if "a" in stack:
                 links += len(text)
-        if not m:
-            break
-        at = m.end()
-        if m["raw"]:
-            raw = m["raw"].lower()
-            if raw not in ("script", "style") and SELF_CLOSED.search(m[0]):
+        if not tag:
+            continue
+        if tag in RAWS and not closing:
+            if tag not in ("script", "style") and SELF_CLOSED.search(attrs):
                 continue
-            end = ENDS[raw].search(html, at) if raw not in endless else None
-            if end:
-                at = end.end()
-            elif raw in ("script", "style"):
-                at = n
+            shut = ENDS[tag].search(html, end) if tag not in endless else None
+            if shut:
+                stream.send(shut.end())
+            elif tag in ("script", "style"):
+                stream.send(len(html))
             else:  # not closed: empty
-                endless.add(raw)
+                endless.add(tag)
             continue
-        if not m["tag"]:
-            continue
-        tag = m["tag"].lower()
         if tag == "head":  # holds raw and void elements only, and its end may be missing
             continue
         if tag in INLINE:
             if tag == "br" and not refused:
                 parts.append(" ")
             elif tag == "a":
-                if m["close"]:
+                if closing:
                     if "a" in stack:
                         leave(len(stack) - 1 - stack[::-1].index("a"))
                 elif not refused:
+                    while stack and stack[-1] == "a":
+                        leave(len(stack) - 1)
                     enter("a", "a")
                     anchors += 1
-            elif not m["close"] and m["attrs"].strip() and not refused and tag not in VOID and _refused(tag, m["attrs"], True):
+            elif not closing and attrs.strip() and not refused and tag not in VOID and _refused(tag, attrs, True):
                 enter(tag, tag)
                 refused = len(stack)
-            elif m["close"] and refused and stack and stack[-1] == tag:
+            elif closing and refused and stack and stack[-1] == tag:
                 leave(len(stack) - 1)
             continue
         if not refused:
             flush()
-        if m["close"]:
-            if tag in stack:
+        if closing:
+            if deeper and tag not in ("body", "html"):
+                deeper -= 1
+            elif tag in stack:
                 leave(len(stack) - 1 - stack[::-1].index(tag))
             continue
         if tag in VOID:
             continue
+        if len(stack) >= DEPTH:
+            deeper += not attrs.rstrip().endswith("/")
+            continue
         while stack and stack[-1] == "a":
             leave(len(stack) - 1)
         if "p" in stack and not SCOPES.intersection(stack[len(stack) - stack[::-1].index("p") :]):
@@ -215,24 +281,24 @@ def blocks(html: str):
             if stack[k] in SCOPES:
                 break
         inside_article = "article" in stack or "main" in stack
-        label = LABEL.search(m["attrs"]) if m["attrs"] else None
+        label = LABEL.search(attrs) if attrs else None
         enter(tag, f"{tag}.{label[1].lower()}" if label and tag not in ("article", "main", "p") else tag)
         if not refused:
-            why = _refused(tag, m["attrs"], inside_article)
+            why = _refused(tag, attrs, inside_article)
             if why == "element":
                 refused = len(stack)
             elif why:
                 hinted.append((len(stack), last))
                 if why == "comment":
                     comments.add(last)
-            elif tag in ("article", "main") and not any(_hint((a or b or c).lower()) for name, a, b, c in ATTR.findall(m["attrs"]) if name.lower() in ("class", "id")):
+            elif tag in ("article", "main") and not any(_hint((a or b or c).lower()) for name, a, b, c in ATTR.findall(attrs) if name.lower() in ("class", "id")):
                 articles.append(tuple(k for _, k in hinted))
-        if m["attrs"].rstrip().endswith("/"):
+        if attrs.rstrip().endswith("/"):
             leave(len(stack) - 1)
     if not refused:
         flush()
     free = _released(found, articles, comments)
-    return [x for x in found if free.issuperset(x[5])]
+    return [x for x in found if free.issuperset(x[5])], paths
 
 
 def _link_lists(found: list[tuple]) -> list[bool]:
@@ -253,14 +319,14 @@ def main_blocks(html: str, share: float = 0.15, blur: float = 0.25, most: float
     The article is what the page marks as article or main, or else the innermost container that has ``most`` of the
     page's score, and beside it the paths that pass.
     """
-    found = blocks(html)
-    if not found:
-        return []
+    found, paths = blocks(html)
     for mark in ("article", "main"):
-        if any(mark in x[0] for x in found):
-            found = [x for x in found if mark in x[0]]
+        if any(mark in paths.marks[x[0]] for x in found):
+            found = [x for x in found if mark in paths.marks[x[0]]]
             return [x[1] for x, listed in zip(found, _link_lists(found)) if not listed]
-    total: dict[tuple, list[float]] = {}
+    if not found:
+        return []
+    total: dict[int, list[float]] = {}
     for path, text, links, *_ in found:
         x = total.setdefault(path, [0, 0, 0, 0])
         x[0] += len(text)
@@ -269,28 +335,28 @@ def main_blocks(html: str, share: float = 0.15, blur: float = 0.25, most: float
         x[3] += 1
     score = {p: chars / n * (1 + marks / n) * (1 - linked / chars) for p, (chars, marks, linked, n) in total.items()}
     values = [score[x[0]] for x in found]
-    smooth = []
+    # a path passes as a whole, by the best of its blocks
+    best: dict[int, float] = {}
     for k, (path, *_) in enumerate(found):
-        near = [values[j] for j in (k - 1, k + 1) if 0 <= j < len(found) and found[j][0][:-1] == path[:-1]]
-        smooth.append(values[k] + blur * sum(near))
+        near = [values[j] for j in (k - 1, k + 1) if 0 <= j < len(found) and paths.parent[found[j][0]] == paths.parent[path]]
+        best[path] = max(best.get(path, 0), values[k] + blur * sum(near))
     size = sum(len(x[1]) for x in found)
     mean = sum(v * len(x[1]) for v, x in zip(values, found)) / size
-    # a path passes as a whole, by the best of its blocks
-    best: dict[tuple, float] = {}
-    for x, v in zip(found, smooth):
-        best[x[0]] = max(best.get(x[0], 0), v)
-    # the innermost container with most of the score
-    held: dict[tuple, float] = {(): sum(values)}
-    for path, (*_, n) in total.items():
-        for k in range(1, len(path) + 1):
-            if path[k - 1].partition(".")[0] not in CONTAINERS:
-                break
-            held[path[:k]] = held.get(path[:k], 0) + score[path] * n
-    inner = max((p for p, v in held.items() if v >= most * held[()]), key=len)
+    # the innermost container with most of the score; children come after their parents
+    n = len(paths.parent)
+    held = [0.0] * n
+    for path, (*_, count) in total.items():
+        held[path] = score[path] * count
+    for path in range(n - 1, 0, -1):
+        held[paths.parent[path]] += held[path]
+    inner = max((p for p in range(n) if paths.box[p] and held[p] >= most * held[0]), key=paths.depth.__getitem__)
+    inside = [False] * n
+    for path in range(n):
+        inside[path] = path == inner or path > 0 and inside[paths.parent[path]]
     listed = _link_lists(found)
     return [
         x[1] for x, links in zip(found, listed)
-        if x[0][: len(inner)] == inner and not links or best[x[0]] >= share * mean and score[x[0]] > 0
+        if inside[x[0]] and not links or best[x[0]] >= share * mean and score[x[0]] > 0
     ]
 
 

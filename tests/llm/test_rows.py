@@ -101,6 +101,65 @@ def test_html_loses_no_page(page):
     assert html.main_blocks(page.format(LONG)) == [LONG.strip()]
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<p>a &lt;b&gt; &amp;amp; &#233;&#x4e2d; &nbsp;c</p>", ["a <b> &amp; é中 c"]),
+        ("<p>one<br>two<br/>three</p>", ["one two three"]),
+        ("<p>a<!-- <p>no</p> -->b</p>", ["ab"]),
+        ("<p>a<!-- never closed <p>no</p>", ["a"]),
+        ("<p>1 < 2 and 3 > 2</p><p>x<y</p>", ["1 < 2 and 3 > 2", "x"]),
+        ("<p title='a > b'>text</p>", ["text"]),
+        ("<p title=\"it's > fine\">text</p>", ["text"]),
+        ("<p data-x=a\"b>text</p><p>more</p>", ["text", "more"]),
+        ("<p><b 'x>text</b> goes on</p>", ["text goes on"]),
+        ("<P>UPPER<BR>case</P>", ["UPPER case"]),
+        ("<p>so<b>me</b>thing <i>in</i>line</p>", ["something inline"]),
+        ("<ul><li>a<ul><li>b</ul><li>c</ul>", ["a", "b", "c"]),
+        ("<pre>x = 1\n  y = 2</pre><p>after the code, text</p>", ["x = 1 y = 2", "after the code, text"]),
+        ("<table><tr><td>1<td>2<tr><td>3</table><p>text, text.</p>", ["1", "2", "3", "text, text."]),
+        ("<p>a<script>if (x < 1) y('</p>')</script>b</p>", ["ab"]),
+        ("<style>p > b {}</style><p>x</p><noscript><p>no</p></noscript>", ["x"]),
+        ("<nav><p>no</p></nav><p>Text, here.</p><footer><p>no</p></footer>", ["Text, here."]),
+        ("<div role=navigation>no</div><p>Text, here.</p>", ["Text, here."]),
+        ("<div hidden>no</div><p>Text, here.</p>", ["Text, here."]),
+        ("<p style='display: none'>no</p><p>Text, here.</p>", ["Text, here."]),
+        ("<form><label>no</label></form><p>Text, here.</p>", ["Text, here."]),
+        ("<div class='ad banner'>no</div><p>Text, here.</p>", ["Text, here."]),
+        ("<p>adverb, shadow, header words</p>", ["adverb, shadow, header words"]),
+        ("<div class=shadow><p>Text, here.</p></div>", ["Text, here."]),
+        ("<article><header><h1>Title</h1></header><p>Text.</p><footer>no</footer></article>", ["Title", "Text."]),
+        ("<article><h1 class=entry-header>Title</h1><p>T.</p></article>", ["T."]),
+        ("<main><p>one</p></main><aside><p>no</p></aside>", ["one"]),
+        ("<article><p>one</p></article><article><p>two</p></article>", ["one", "two"]),
+        ("<p>a<p>b<div>c</div>d", ["a", "b", "c", "d"]),
+        ("</div></p><p>text</p></body></html></p>", ["text"]),
+        ("<?xml version='1.0'?><!DOCTYPE html><p>text</p>", ["text"]),
+        ("<p>" + "&#9;&#10; " * 3 + "</p>", []),
+        ("<", ["<"]),
+        ("<p", ["<p"]),
+        ("text only", ["text only"]),
+    ],
+)
+def test_html_pages(page, want):
+    assert html.main_blocks(page) == want
+
+
+@pytest.mark.parametrize("piece", ['<b "', "<b a='", '<b a=">', "<!<", "</<", "<a><b>", "<div>x", "<p>&amp;", "<a href='x'>y", "<svg>", "<!-- ", "<ul><li>x", "<div class=ad>x", "<table><tr><td>", "'>\"<i x=", "< "])
+def test_html_takes_time_in_proportion(piece):
+    import time
+
+    def took(n):
+        page = piece * (n // len(piece))
+        began = time.process_time()
+        html.main_blocks(page)
+        return time.process_time() - began
+
+    took(1000)
+    small, large = took(50_000), took(400_000)
+    assert large < 30 * small + 1.0
+
+
 def brute_quality(text):
     words = re.findall("[^\x20\x09-\x0d]+", text)
     grams = list(zip(words, words[1:], words[2:]))
