@@ -4,7 +4,8 @@ Four kinds of evidence are added up as logarithms:
 
 - text: a naive Bayes model of byte trigrams, trained here on a bounded sample of rows with a declared
   language (``per_language`` different texts each). Trigrams of a text are not independent, so their mean is weighted by
-  the root of their number;
+  the root of their number. The sample is in two folds by a hash of the text, and a document is scored by the model of
+  the other fold: its own declaration, or that of a copy, is never behind the text evidence it meets;
 - declared: P(declared markup language | language);
 - suffix: the address's suffix, as the middle level of the prior;
 - host: the prior itself, smoothed hierarchically: a host's counts lean on its suffix's and those on the
@@ -17,10 +18,9 @@ pass gives a few numbers per document.
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille.llm.npx import U, column_bytes, mix, pieces
@@ -54,45 +54,74 @@ def trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return cells[inside], np.bincount(row[:-2][inside], minlength=len(column)).astype(np.int64)
 
 
+SLACK = 2.5  # nats per trigram
+NEVER = -50.0  # log-likelihood per trigram in a language that a fold has no text of
+
+
 class Model:
-    """log P(trigram | language); ``floor[k]`` is ``slack`` nats below the mean per trigram of training texts of k.
+    """log P(trigram | language) by fold; ``floor`` is ``SLACK`` below the mean per trigram of training texts.
 
-    Text in the language with foreign passages stays above the floor; random letters lie below it.
+    Text in the language with foreign passages stays above the floor; random letters lie below it. Fold f of the
+    tables is made of all texts but those of fold f, and scores the documents of fold f; a single fold scores all.
     """
 
-    def __init__(self, rows: list[tuple[str, str]], slack: float = 2.5) -> None:
-        self.languages = sorted({lang for lang, _ in rows})
-        self.table = np.zeros((len(self.languages), CELLS), np.float32)
-        self.floor = np.full(len(self.languages), -np.inf)
-        for k, lang in enumerate(self.languages):
-            cells, counts = trigrams(pa.array([text for name, text in rows if name == lang], pa.string()))
-            seen = np.bincount(cells, minlength=CELLS) + 0.05
-            self.table[k] = np.log(seen / seen.sum())
-            long = counts >= 100
-            if long.any():
-                at = np.append(0, np.cumsum(counts))
-                total = np.append(0, np.cumsum(self.table[k][cells].astype(np.float64)))
-                mean = (total[at[1:]] - total[at[:-1]])[long] / counts[long]
-                self.floor[k] = mean.mean() - slack
+    def __init__(self, languages: list[str], folds: int = 1) -> None:
+        self.languages, self.folds = languages, folds
+        self.table = np.full((len(languages), folds, CELLS), NEVER, np.float32)
+        self.floor = np.full((len(languages), folds), np.inf)
+
+    def lacks(self, fold: int) -> list[str]:
+        """The languages that a fold's table knows nothing of."""
+        return [name for name, floor in zip(self.languages, self.floor[:, fold]) if np.isposinf(floor)]
+
+    def fit(self, language: int, fold: int, counts: np.ndarray, shares: np.ndarray, long: int) -> None:
+        """From the trigram counts of some texts, and the sum of the long ones' shares."""
+        seen = counts + 0.05
+        logs = np.log(seen / seen.sum())
+        self.table[language, fold] = logs
+        self.floor[language, fold] = (shares / long * logs).sum() - SLACK if long else -np.inf
+
+    @classmethod
+    def of(cls, rows: list[tuple[str, str]]) -> Model:
+        """A model of one fold of (language, text)."""
+        model = cls(sorted({lang for lang, _ in rows}))
+        for k, lang in enumerate(model.languages):
+            model.fit(k, 0, *_counted(pa.array([text for name, text in rows if name == lang], pa.string())))
+        return model
+
+
+def _counted(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
+    """Trigram counts of texts, the sum of the shares of those of 100 trigrams or more, and how many those are."""
+    cells, counts = trigrams(texts)
+    long = counts >= 100
+    weight = np.repeat(np.where(long, 1.0 / np.maximum(counts, 1), 0.0), counts)
+    return np.bincount(cells, minlength=CELLS).astype(np.float64), np.bincount(cells, weight, CELLS), int(long.sum())
 
 
 def _text_evidence(batches, model: Model):
     k = len(model.languages)
+    flat_tables = model.table.reshape(k, model.folds * CELLS)
     for batch in pieces(batches, "_text"):
         cells, counts = trigrams(batch.column("_text"))
+        fold = batch.column("_fold").to_numpy()
+        where = cells + np.repeat(fold.astype(np.int64) * CELLS, counts)
         at = np.append(0, np.cumsum(counts))
         means = np.empty((batch.num_rows, k))
         for j in range(k):
-            total = np.append(0, np.cumsum(model.table[j][cells], dtype=np.float64))
+            total = np.append(0, np.cumsum(flat_tables[j][where], dtype=np.float64))
             means[:, j] = (total[at[1:]] - total[at[:-1]]) / np.maximum(counts, 1)
         best = means.argmax(axis=1) if k else np.zeros(batch.num_rows, np.int64)
-        fits = (counts > 0) & (means[np.arange(batch.num_rows), best] >= np.asarray(model.floor)[best]) if k else counts > 0
+        fits = means[np.arange(batch.num_rows), best] >= model.floor[best, fold] if k else np.ones(batch.num_rows, bool)
         arrays = dict(zip(batch.schema.names, batch.columns))
         arrays.pop("_text")
-        flat = pa.array((means * np.sqrt(counts)[:, None]).ravel())
+        logs = means * np.sqrt(counts)[:, None]
+        shares = np.exp(logs - logs.max(axis=1, keepdims=True)) if k else logs
+        shares /= np.maximum(shares.sum(axis=1, keepdims=True), 1e-300)
+        at = pa.array(np.arange(batch.num_rows + 1) * k, pa.int32())
         arrays["_grams"] = pa.array(counts)
-        arrays["_fits"] = pa.array(fits | (counts < 100) & (counts > 0))
-        arrays["_text_log"] = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * k, pa.int32()), flat)
+        arrays["_fits"] = pa.array((fits | (counts < 100)) & (counts > 0))
+        arrays["_text_log"] = pa.ListArray.from_arrays(at, pa.array(logs.ravel()))
+        arrays["_share"] = pa.ListArray.from_arrays(at, pa.array(shares.ravel()))
         yield pa.RecordBatch.from_pydict(arrays)
 
 
@@ -108,27 +137,72 @@ def _new_texts(batches):
         yield batch.take(pa.array(new, pa.int64()))
 
 
-def train(rows: DataFrame, per_language: int = 400, most_languages: int = 64) -> Model:
-    """A model from ``per_language`` different texts of (lang, text) at most, those of least hash, in each language.
-
-    Fitting takes a bounded sample by intent; the bound is ``per_language`` times ``most_languages`` texts. A hash below
-    the share of different texts that is wanted picks them where they are read, and copies go there and in one small
-    shuffle, so the driver sees about twice as many texts as it keeps.
+def _fitted(batches):
+    """Counts by language and fold of the sample; all rows of both are in one partition."""
+    found: dict[tuple[str, int], list] = {}
+    for batch in pieces(batches, "text"):
+        keys = list(zip(batch.column("lang").to_pylist(), batch.column("_fold").to_pylist()))
+        for key in set(keys):
+            part = batch.column("text").filter(pa.array([k == key for k in keys]))
+            sums = found.setdefault(key, [np.zeros(CELLS), np.zeros(CELLS), 0])
+            for n, x in enumerate(_counted(part)):
+                sums[n] += x
+    for (lang, fold), (counts, shares, long) in found.items():
+        yield pa.RecordBatch.from_pydict(
+            {
+                "lang": pa.array([lang]),
+                "fold": pa.array([fold], pa.int32()),
+                "counts": pa.array([counts.astype(np.float32).tobytes()]),
+                "shares": pa.array([shares.astype(np.float32).tobytes()]),
+                "long": pa.array([long], pa.int64()),
+            }
+        )
+
+
+def fold_of(text: Column, folds: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit("fold"), text), F.lit(folds)).cast("int")
+
+
+def sample(rows: DataFrame, per_language: int, most_languages: int) -> DataFrame | None:
+    """(lang, _h, text): ``per_language`` different texts at most of each of the most frequent languages, those of least hash.
+
+    A hash below the share of different texts that is wanted picks them where they are read, with some to spare, so only
+    a bounded number of rows moves. None if no row has a language and a text.
     """
     labelled = rows.filter("lang IS NOT NULL AND text IS NOT NULL").withColumn("_h", F.xxhash64("lang", "text"))
     sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("_h").alias("texts"))
     common = sizes.orderBy(F.desc("n"), "lang").limit(most_languages).collect()
     if not common:
-        return Model([])
+        return None
     bounds = F.create_map(
         *[F.lit(x) for lang, _, n in common for x in (lang, int(-(1 << 63) + ((1 << 64) - 1) * min(1.0, 2 * per_language / n)) if n > 2 * per_language else (1 << 63) - 1)]
     )
     low = labelled.filter(F.col("_h") <= F.try_element_at(bounds, F.col("lang"))).select("lang", "_h", "text")
     new = low.mapInArrow(remote(__name__, "_new_texts"), "lang string, _h long, text string").dropDuplicates(["lang", "_h"])
-    picked: dict[str, list] = {}
-    for r in new.toLocalIterator():
-        picked.setdefault(r.lang, []).append((r["_h"], r.text))
-    return Model([(lang, text) for lang, found in picked.items() for _, text in sorted(found)[:per_language]])
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_h"))
+    return new.withColumn("_rank", rank).filter(F.col("_rank") <= per_language).select("lang", "_h", "text")
+
+
+def train(rows: DataFrame, per_language: int = 400, most_languages: int = 64, folds: int = 2) -> Model:
+    """A model of (lang, text) from ``per_language`` different texts at most in each of ``most_languages`` languages.
+
+    Fitting takes a bounded sample by intent. Texts are counted where they are; the driver gets one vector per language
+    and fold.
+    """
+    picked = sample(rows, per_language, most_languages)
+    if picked is None:
+        return Model([], folds)
+    by_fold = picked.withColumn("_fold", fold_of(F.col("text"), folds)).repartition("lang", "_fold")
+    shape = "lang string, fold int, counts binary, shares binary, long long"
+    found = by_fold.mapInArrow(remote(__name__, "_fitted"), shape).collect()
+    model = Model(sorted({r.lang for r in found}), folds)
+    for k, lang in enumerate(model.languages):
+        for fold in range(folds):
+            parts = [r for r in found if r.lang == lang and (folds == 1 or r.fold != fold)]
+            if parts:
+                vectors = [sum(np.frombuffer(r[c], np.float32).astype(np.float64) for r in parts) for c in ("counts", "shares")]
+                model.fit(k, fold, *vectors, sum(r.long for r in parts))
+    return model
 
 
 def declared_language(markup: Column) -> Column:
@@ -158,7 +232,8 @@ def identify(
     """``docs`` without its text, with language, probability and kept.
 
     A text without letters has no language and is rejected, as is one that no language's model fits (if
-    it has 100 trigrams or more) and one whose best language has a posterior below ``least``. Null texts are empty; null hosts
+    it has 100 trigrams or more) and one whose best language has a posterior below ``least``. A model without languages
+    says nothing: language and probability are null, and texts with letters are kept. Null texts are empty; null hosts
     and declarations are values of their own. Rows are independent but for the counts, in which repeated rows count
     each time. Columns named language, probability or kept are replaced. An empty table gives an empty result.
     """
@@ -171,69 +246,68 @@ def identify(
         host.alias("_host"),
         F.regexp_extract(host, "\\.([A-Za-z]{2,24})$", 1).alias("_suffix"),
         F.coalesce(declared_language(declared) if declared is not None else F.lit(None), F.lit("")).alias("_declared"),
+        fold_of(F.col(text_col), model.folds).alias("_fold"),
         F.col(text_col).alias("_text"),
     )
     shape = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "_text"]
-    shape += ["_grams long", "_fits boolean", "_text_log array<double>"]
+    shape += ["_grams long", "_fits boolean", "_text_log array<double>", "_share array<double>"]
     rows = rows.mapInArrow(remote(__name__, "_text_evidence", model=model), ", ".join(shape)).checkpoint()
     if not languages:
-        return rows.select(*others, F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("probability"), F.lit(False).alias("kept"))
-
-    def posterior(logs: list[Column]) -> list[Column]:
-        top = F.greatest(*logs) if len(logs) > 1 else logs[0]
-        return [F.exp(x - top) for x in logs]
-
-    logs = [F.col("_text_log")[k] for k in range(len(languages))]
-    weights = posterior(logs)
-    total = sum(weights[1:], weights[0])
-    usable = rows.filter("_grams > 0")
-    expected = usable.select("_host", "_suffix", "_declared", *[(w / total).alias(f"c{k}") for k, w in enumerate(weights)])
-    sums = [F.sum(f"c{k}").alias(f"c{k}") for k in range(len(languages))]
-    hosts = expected.groupBy("_host", "_suffix").agg(*sums)
-    suffixes = hosts.groupBy("_suffix").agg(*[F.sum(f"c{k}").alias(f"s{k}") for k in range(len(languages))])
-    corpus = suffixes.agg(*[F.coalesce(F.sum(f"s{k}"), F.lit(0.0)) + 1 for k in range(len(languages))]).first()
-    base = [float(x) / sum(map(float, corpus)) for x in corpus]
-    said = expected.groupBy("_declared").agg(*[F.sum(f"c{k}").alias(f"d{k}") for k in range(len(languages))])
-
-    def lean_on(counts: list[Column], prior: list[Column]) -> list[Column]:
-        n = sum(counts[1:], counts[0])
-        return [(c + lean * p) / (n + lean) for c, p in zip(counts, prior)]
+        nothing = F.lit(None).cast("string").alias("language"), F.lit(None).cast("double").alias("probability")
+        return rows.select(*others, *nothing, (F.col("_grams") > 0).alias("kept"))
 
+    # expected counts by host, suffix and declaration: one aggregate per language, combined before the shuffle
     k_range = range(len(languages))
-    of_suffix = lean_on([F.col(f"s{k}") for k in k_range], [F.lit(p) for p in base])
-    priors = hosts.join(suffixes, "_suffix")
-    of_host = lean_on([F.col(f"c{k}") for k in k_range], of_suffix)
-    priors = priors.select("_host", *[F.log(p).alias(f"p{k}") for k, p in enumerate(of_host)])
-    spoken = [F.log((F.col(f"d{k}") + 0.5) / (float(corpus[k]) + 0.5)).alias(f"d{k}") for k in k_range]
-    said = said.select("_declared", *spoken)
-
-    joined = rows.join(priors, "_host", "left").join(said, "_declared", "left")
-    final = [
-        F.col("_text_log")[k] + F.coalesce(f"p{k}", F.lit(float(np.log(base[k])))) + F.when(F.col("_declared") == "", 0.0).otherwise(F.coalesce(f"d{k}", F.lit(0.0)))
-        for k in k_range
-    ]
-    weights = posterior(final)
-    total = sum(weights[1:], weights[0])
-    shares = F.array(*[F.struct((w / total).alias("p"), F.lit(-k).alias("o"), F.lit(name).alias("name")) for k, (w, name) in enumerate(zip(weights, languages))])
-    best = joined.withColumn("_best", F.array_max(shares))
+    expected = rows.filter("_grams > 0").select("_host", "_suffix", "_declared", *[F.col("_share")[k].alias(f"c{k}") for k in k_range])
+    sums = [F.sum(f"c{k}").alias(f"c{k}") for k in k_range]
+    hosts = expected.groupBy("_host", "_suffix").agg(*sums)
+    suffixes = hosts.groupBy("_suffix").agg(*sums)
+    corpus = [float(x) for x in suffixes.agg(*[F.coalesce(F.sum(f"c{k}"), F.lit(0.0)) + 1 for k in k_range]).first()]
+    base = F.array(*[F.lit(x / sum(corpus)) for x in corpus])
+    counts = F.array(*[F.col(f"c{k}") for k in k_range])
+
+    def leaning(own: Column, prior: Column) -> Column:
+        n = F.aggregate(own, F.lit(0.0), lambda a, x: a + x)
+        return F.zip_with(own, prior, lambda c, p: (c + lean * p) / (n + lean))
+
+    priors = hosts.select("_host", "_suffix", counts.alias("own")).join(suffixes.select("_suffix", counts.alias("all")), "_suffix")
+    priors = priors.withColumn("of_suffix", leaning(F.col("all"), base))
+    priors = priors.select("_host", F.transform(leaning(F.col("own"), F.col("of_suffix")), lambda x: F.ln(x)).alias("_prior"))
+    said = expected.groupBy("_declared").agg(*sums)
+    said = said.select("_declared", F.array(*[F.log((F.col(f"c{k}") + 0.5) / (corpus[k] + 0.5)) for k in k_range]).alias("_said"))
+
+    joined = rows.drop("_share").join(priors, "_host", "left").join(said, "_declared", "left")
+    logs = F.zip_with("_text_log", F.coalesce("_prior", F.transform(base, lambda x: F.ln(x))), lambda a, b: a + b)
+    logs = F.when((F.col("_declared") == "") | F.col("_said").isNull(), logs).otherwise(F.zip_with(logs, "_said", lambda a, b: a + b))
+    found = joined.select(*others, "_grams", "_fits", logs.alias("_logs")).withColumn("_top", F.array_max("_logs"))
+    # the best one's posterior: its own weight is exp(0)
+    weight = F.aggregate("_logs", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_top")))
+    found = found.withColumn("_p", 1 / weight)
     known = F.col("_grams") > 0
-    return best.select(
+    names = F.array(*[F.lit(name) for name in languages])
+    return found.select(
         *others,
-        F.when(known, F.col("_best.name")).alias("language"),
-        F.when(known, F.col("_best.p")).otherwise(F.lit(0.0)).alias("probability"),
-        (known & F.col("_fits") & (F.col("_best.p") >= least)).alias("kept"),
+        F.when(known, F.element_at(names, F.array_position("_logs", F.col("_top")).cast("int"))).alias("language"),
+        F.when(known, F.col("_p")).otherwise(F.lit(0.0)).alias("probability"),
+        (known & F.col("_fits") & (F.col("_p") >= least)).alias("kept"),
     )
 
 
 def identify_documents(docs: DataFrame, carry: tuple[str, ...] = (), **options) -> DataFrame:
     """doc_id, declared, language, probability, kept of documents (doc_id, text, lang, source), and the columns ``carry``.
 
-    A document with letters whose declared language the model lacks is kept as declared, with a null probability.
+    A document with letters whose declared language the model that scores it lacks (a rare one, or one all whose texts
+    are copies) is kept as declared, with a null probability. A source stands for the host; it has a suffix only
+    where it looks like an address.
     """
     model = train(docs.select("lang", "text"))
-    rows = docs.select(*carry, "doc_id", "text", "lang", "source")
+    rows = docs.select(*carry, "doc_id", "text", "lang", "source", fold_of(F.col("text"), model.folds).alias("_own_fold"))
     found = identify(rows, model, declared=F.col("lang"), host=F.col("source"), **options)
-    unknown = F.col("language").isNotNull() & F.col("lang").isNotNull() & ~F.col("lang").isin(model.languages)
+    lacking = ~F.col("lang").isin(model.languages) if model.languages else F.lit(True)
+    for fold in range(model.folds):
+        if names := model.lacks(fold):
+            lacking = lacking | (F.col("_own_fold") == fold) & F.col("lang").isin(names)
+    unknown = F.coalesce(F.col("language").isNotNull() & F.col("lang").isNotNull() & lacking, F.lit(False))
     return found.select(
         *carry,
         "doc_id",
@@ -251,5 +325,5 @@ def identify_pages(pages: DataFrame, docs: DataFrame, **options) -> DataFrame:
     """
     text = F.regexp_replace(F.coalesce("html", F.lit("")), "(?is)<(script|style)\\b.*?</\\1\\s*>|<[^>]*>", " ")
     rows = pages.select("page_id", "url", markup_language(F.col("html")).alias("declared"), text.alias("text"))
-    found = identify(rows, train(docs.select("lang", "text")), declared=F.col("declared"), host=host_of(F.col("url")), **options)
+    found = identify(rows, train(docs.select("lang", "text"), folds=1), declared=F.col("declared"), host=host_of(F.col("url")), **options)
     return found.select("page_id", "declared", "language", "probability", "kept")

@@ -240,7 +240,7 @@ def test_mixing(spark):
 def test_language(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet") if os.path.isdir("/root/testdata/sf0.01") else pytest.skip("no tables")
     known = docs.filter("doc_id % 2 = 0").select("lang", "text")
-    model = langid.train(known, per_language=60)
+    model = langid.train(known, per_language=60, folds=1)
     held_out = docs.filter("doc_id % 2 = 1 AND n_chars > 200")
     rows = langid.identify(held_out, model, host=F.col("source")).collect()  # without the declaration
     right = sum(r.lang == r.language for r in rows)
@@ -254,24 +254,134 @@ def test_language(spark):
     assert langid.identify_documents(odd.limit(0)).count() == 0
 
 
-def test_language_sample_is_of_different_texts(spark, monkeypatch):
-    seen = []
-    monkeypatch.setattr(langid, "Model", lambda rows: seen.append(collections.Counter(rows)))
+def test_language_sample_is_of_different_texts(spark):
     # the text of the least hash is the one with many copies
     texts = [(f"text {chr(97 + k // 26)}{chr(97 + k % 26)} of many",) for k in range(300)]
     frame = spark.createDataFrame(texts, "text string").select(F.lit("aa").alias("lang"), "text")
     least = frame.orderBy(F.xxhash64("lang", "text")).limit(1)
     copies = spark.range(2000).crossJoin(F.broadcast(least)).select("lang", "text")
-    langid.train(frame.unionByName(copies).repartition(3), per_language=20)
+    few = spark.range(2000).select(F.lit("bb").alias("lang"), F.lit("one text").alias("text"))
+    got = langid.sample(frame.unionByName(copies).unionByName(few).repartition(3), 20, 64).collect()
     want = [r.text for r in frame.orderBy(F.xxhash64("lang", "text")).limit(20).collect()]
-    assert seen == [collections.Counter({("aa", t): 1 for t in want})]
+    assert collections.Counter((r.lang, r.text) for r in got) == collections.Counter([("bb", "one text"), *(("aa", t) for t in want)])
+
+
+def test_language_of_a_text_is_not_told_by_itself(spark):
+    """A text under a wrong language is scored by texts of the other fold only, so its own label has no say."""
+    rnd = random.Random(2)
+    words = {lang: ["".join(rnd.choices(letters, k=6)) for _ in range(200)] for lang, letters in (("aa", "aeioulmn"), ("bb", "bckpstzr"))}
+    docs = [(k, " ".join(rnd.choices(words[lang], k=80)), lang) for k, lang in enumerate(["aa", "bb"] * 100)]
+    docs[7] = (7, docs[6][1], "bb")  # declared wrongly, with copies
+    docs += [(1000 + k, docs[6][1], "bb") for k in range(50)]
+    df = spark.createDataFrame([(*d, "s") for d in docs], "doc_id long, text string, lang string, source string")
+    model = langid.train(df.select("lang", "text"))
+    rows = {r.doc_id: r for r in langid.identify(df, model).collect()}
+    assert rows[7].language == "aa" and rows[1003].language == "aa"
+    assert all(rows[k].language == lang for k, _, lang in docs[:200] if k != 7)
+
+
+def test_language_of_the_sixty_fifth_and_of_no_declaration(spark):
+    rnd = random.Random(3)
+    docs = []
+    for k in range(66):
+        lang = chr(97 + k // 26) + chr(97 + k % 26)
+        words = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(12)]
+        docs += [(k * 10 + j, " ".join(rnd.choices(words, k=40)), lang) for j in range(5 if k < 64 else 3)]
+    df = spark.createDataFrame([(*d, "s") for d in docs], "doc_id long, text string, lang string, source string")
+    rows = langid.identify_documents(df).collect()
+    assert all(r.kept for r in rows)
+    last = [r for r in rows if r.declared in ("cm", "cn")]
+    assert len(last) == 6 and all(r.language == r.declared and r.probability is None for r in last)
+    none = langid.identify_documents(df.withColumn("lang", F.lit(None).cast("string")).withColumn("text", F.when(F.col("doc_id") < 20, "12 3").otherwise(F.col("text"))))
+    assert all((r.language, r.probability, r.kept) == (None, None, r.doc_id >= 20) for r in none.collect())
+
+
+def brute_grams(text):
+    out, low = [], bytes(b | 32 for b in (text or "").encode())
+    body = bytearray()
+    for raw, b in zip((text or "").encode(), low):
+        x = b if 97 <= b <= 122 else 32 if raw < 128 else raw
+        if x != 32 or not body or body[-1] != 32:
+            body.append(x)
+    for k in range(len(body) - 2):
+        if not (body[k] == 32 and body[k + 2] == 32):
+            out.append(bytes(body[k : k + 3]))
+    return out
+
+
+def brute_language(train, rows, lean=20.0):
+    """(language, probability) of rows (text, declared, host, suffix) by plain sums over real trigrams."""
+    import math
+
+    langs = sorted({lang for lang, _ in train})
+    table = []
+    for lang in langs:
+        count = collections.Counter(g for name, t in train if name == lang for g in brute_grams(t))
+        size = sum(count.values()) + 0.05 * langid.CELLS
+        table.append(lambda g, count=count, size=size: math.log((count[g] + 0.05) / size))
+    logs = []
+    for text, *_ in rows:
+        grams = brute_grams(text)
+        logs.append([sum(f(g) for g in grams) / len(grams) * math.sqrt(len(grams)) if grams else None for f in table])
+
+    def share(values):
+        top = max(values)
+        out = [math.exp(v - top) for v in values]
+        return [v / sum(out) for v in out]
+
+    sums = [collections.defaultdict(lambda: [0.0] * len(langs)) for _ in range(4)]
+    for (_, declared, host, suffix), values in zip(rows, logs):
+        if values[0] is not None:
+            for table_, key in zip(sums, (host, suffix, "", declared)):
+                table_[key] = [a + b for a, b in zip(table_[key], share(values))]
+    corpus = [c + 1 for c in sums[2][""]]
+    prior = [c / sum(corpus) for c in corpus]
+
+    def leaning(counts, on):
+        return [(c + lean * p) / (sum(counts) + lean) for c, p in zip(counts, on)]
+
+    out = []
+    for (_, declared, host, suffix), values in zip(rows, logs):
+        if values[0] is None:
+            out.append((None, 0.0))
+            continue
+        of_host = leaning(sums[0][host], leaning(sums[1][suffix], prior))
+        said = [math.log((d + 0.5) / (c + 0.5)) if declared else 0.0 for d, c in zip(sums[3][declared], corpus)]
+        final = share([v + math.log(p) + d for v, p, d in zip(values, of_host, said)])
+        out.append((langs[final.index(max(final))], max(final)))
+    return out
+
+
+def test_language_of_pages_against_brute_force(spark):
+    rnd = random.Random(5)
+    words = {"aa": ["".join(rnd.choices("aeioulmn", k=4)) for _ in range(60)], "bb": ["".join(rnd.choices("aeioubck", k=4)) for _ in range(60)], "cc": ["".join(rnd.choices("xyzéß", k=4)) for _ in range(60)]}
+    train = [(lang, " ".join(rnd.choices(words[lang], k=50))) for lang in words for _ in range(20)]
+    docs = spark.createDataFrame(train, "lang string, text string")
+    rows, pages = [], []
+    for k in range(150):
+        lang = rnd.choice(list(words))
+        text = " ".join(rnd.choices(words[lang], k=rnd.choice([1, 2, 3, 40])) + rnd.choices(words[rnd.choice(list(words))], k=rnd.randint(0, 3)))
+        text = rnd.choice([text, text, text, "", "12 34"])
+        declared = rnd.choice([lang, lang, None, "aa", "zz"])
+        suffix = rnd.choice(["aa", "bb", ""])
+        host = f"h{k % 4}.{suffix}" if suffix else f"h{k % 4}"
+        mark = f" lang='{declared}-X'" if declared else ""
+        pages.append((k, f"http://{host}/p/{k}" if k else None, f"<html{mark}><p>{text}</p><script>var x</script>"))
+        rows.append((f" {text} ", declared or "", host if k else "", suffix if k else ""))  # tags are blanks
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r for r in langid.identify_pages(df, docs).collect()}
+    for k, (language, probability) in enumerate(brute_language(train, rows)):
+        assert got[k].language == language or abs(got[k].probability - 0.5) < 0.02
+        assert abs(got[k].probability - probability) < 1e-3
+    assert len({r.language for r in got.values()}) == 4
 
 
 def test_language_without_model_is_kept(spark, monkeypatch):
     import functools
 
     monkeypatch.setattr(langid, "train", functools.partial(langid.train, most_languages=2))
-    docs = [(k, "red blue green " * 20, "aa", "s") for k in range(4)] + [(k, "uno dos tres " * 20, "bb", "s") for k in range(4, 7)]
+    # a language of one text, which no other text can tell of, and one of several
+    docs = [(k, "red blue green " * 20, "aa", "s") for k in range(4)] + [(k, "uno dos tres " * (20 + k), "bb", "s") for k in range(4, 7)]
     docs += [(7, "zyx wvu qpo " * 20, "cc", "s"), (8, "red blue", "cc", "s"), (9, "12 34", "cc", "s"), (10, None, "cc", None)]
     df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
     rows = {r.doc_id: (r.language, r.kept) for r in langid.identify_documents(df).collect()}
@@ -281,7 +391,7 @@ def test_language_without_model_is_kept(spark, monkeypatch):
 def test_language_evidence_adds_up(spark):
     """A text that fits two languages alike follows its declaration, then its host."""
     rows = [("aa", "red blue green " * 20), ("bb", "red blue green " * 20)]
-    model = langid.Model(rows)
+    model = langid.Model.of(rows)
     docs = [(i, "red blue green red blue", "aa" if i < 9 else None, "https://x.aa/p") for i in range(10)]
     df = spark.createDataFrame(docs, "doc_id long, text string, lang string, url string")
     plain = langid.identify(df, model).collect()
