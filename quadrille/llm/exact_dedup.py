@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quadrille.llm.rows import is_scan, numbered
 from quadrille.session import ensure_checkpoint_dir
 
 LAST = -(1 << 63)
@@ -65,9 +66,13 @@ def exact_dedup(
     gives an empty result. ``row_col`` names a column of distinct longs; it then orders rows of the same doc_id and
     comes out with the verdicts.
     """
-    spark = docs.sparkSession
-    ensure_checkpoint_dir(spark)
-    blocks = _blocks(docs, block_size, id_col, text_col, row_col)
+    ensure_checkpoint_dir(docs.sparkSession)
+    number = row_col
+    if row_col is None:
+        # the branches below must number rows alike, as scans of files do; anything else is pinned first
+        rows = docs.select(F.col(id_col), F.col(text_col))
+        docs, number = (rows, None) if is_scan(rows) else (numbered(rows), "_row")
+    blocks = _blocks(docs, block_size, id_col, text_col, number)
     names = _named(blocks.select("h", "block").distinct(), "block").select("h", "name").checkpoint()
     same_hash = names.groupBy("h").count().filter("count > 1").select("h").checkpoint()
     single = names.join(same_hash, "h", "left_anti")

@@ -82,7 +82,7 @@ def mix_plan(
 ) -> DataFrame:
     """``docs`` with _size, _source_size, _target and _copies (how often the mix emits the row).
 
-    Null texts have size 0. Null is a source of its own. Repeated rows share their coin. A source of size 0 gets
+    Null texts have size 0. Null is a source of its own. Repeated rows share their coin; a row without id takes its text's. A source of size 0 gets
     target 0 and its rows are not emitted. An empty table gives an empty result.
     """
     sized = docs.withColumn("_size", word_count(F.col(text_col)))
@@ -97,7 +97,8 @@ def mix_plan(
     # texts stay where they are while the table of sources is small; beyond that, AQE splits the hot sources of a join
     joined = sized.join(F.broadcast(targets) if small else targets, sized[source_col].eqNullSafe(targets["_source"])).drop("_source")
     whole = F.floor(rate)
-    extra = (coin(F.col(id_col), seed) < rate - whole).cast("long")
+    key = F.coalesce(F.col(id_col).cast("string"), F.md5(F.col(text_col).cast("binary")))
+    extra = (coin(key, seed) < rate - whole).cast("long")
     return joined.withColumn("_copies", whole.cast("long") + extra)
 
 
@@ -124,7 +125,7 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
 
 ORACLE = r"""
 WITH d AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+  SELECT doc_id, coalesce(doc_id::VARCHAR, md5(text), '') AS key, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size,
          row_number() OVER (ORDER BY source IS NULL, source) - 1 AS place
@@ -144,7 +145,7 @@ t AS (
   FROM f),
 j AS (
   SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
-         ('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
+         ('0x' || substr(md5('7:' || key), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size::BIGINT AS source_size, target,
        (size * (floor(rate)::BIGINT + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken

@@ -19,6 +19,8 @@ SYMBOLS = "[#*$%&|<>]"
 PHRASES = (
     "licensed under", "all rights reserved", "cookie policy", "cookie settings", "cookie notice", "privacy policy",
     "terms of use", "terms of service", "javascript", "lorem ipsum", "subscribe to our", "sign up for", "click here", "copyright",
+    "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "tous droits réservés", "politique de confidentialité",
+    "conditions d'utilisation", "todos los derechos reservados", "política de privacidad", "términos y condiciones",
 )
 MENU_MARKS = "[|»›>•·/]"
 MENU = "(?<![^\\s])[|»›>•·/]+(?![^\\s])"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quadrille.llm import bpe, chat, exact_dedup, html, langid, minhash, mixing, quality, substring, suffixes
+from quadrille.llm import bpe, chat, exact_dedup, html, langid, minhash, mixing, quality, statements, substring, suffixes
 from quadrille.session import table
 
 
@@ -76,4 +76,12 @@ def queries():
 
 
 def oracle_sql():
-    return {"op5_chat_format": chat.ORACLE, "op7_mixing": mixing.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE}
+    return {
+        "op1_minhash_near_dedup": statements.NEAR,
+        "op4_substring_dedup": statements.WINDOWS,
+        "op5_chat_format": chat.ORACLE,
+        "op6_suffix_array_dedup": statements.BYTES,
+        "op7_mixing": mixing.ORACLE,
+        "op8_exact_dedup": exact_dedup.ORACLE,
+        "op10_quality_rules": statements.QUALITY,
+    }
