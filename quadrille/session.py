@@ -14,8 +14,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints.
 
-    A cluster names it in ``spark.checkpoint.dir``; a private folder is used only where that is unset,
-    as in tests on one machine.
+    A cluster names it in ``spark.checkpoint.dir``; a private folder is used only where that is unset and the whole
+    session is on one machine, as in tests. A cluster that names none is an error.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -26,6 +26,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     local = tempfile.mkdtemp(prefix="quadrille-checkpoint-")
     sc.setCheckpointDir(local)
     return local
