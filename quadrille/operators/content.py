@@ -66,15 +66,34 @@ def project_tags(rows: DataFrame, all_tags: bool = False) -> DataFrame:
     return rows.withColumn("props", F.when(F.col("include") == "All", every).when(F.col("include") == "Keys", F.concat(rule, listed)).otherwise(rule))
 
 
-def dictionary(props: DataFrame) -> DataFrame:
-    """tile_h, s, idx: a tile's strings in order of first use. ``props`` has tile_h, ord (of the feature), props.
+def dictionary(props: DataFrame, keys: tuple[str, ...] = ("tile_h",)) -> DataFrame:
+    """keys, s, idx: a tile's strings in order of first use. ``props`` has the tile's keys, ord (of the feature), props.
 
     The order is per tile, so the window sorts one tile's distinct strings.
     """
-    rows = props.select("tile_h", "ord", F.posexplode("props").alias("pos", "p"))
-    rows = rows.select("tile_h", F.posexplode(F.array("p.k", "p.v")).alias("side", "s"), F.struct("ord", "pos").alias("at"))
-    first = rows.groupBy("tile_h", "s").agg(F.min(F.struct("at", "side")).alias("at"))
-    return first.withColumn("idx", F.row_number().over(Window.partitionBy("tile_h").orderBy("at")) - 1).select("tile_h", "s", "idx")
+    rows = props.select(*keys, "ord", F.posexplode("props").alias("pos", "p"))
+    rows = rows.select(*keys, F.posexplode(F.array("p.k", "p.v")).alias("side", "s"), F.struct("ord", "pos").alias("at"))
+    first = rows.groupBy(*keys, "s").agg(F.min(F.struct("at", "side")).alias("at"))
+    return first.withColumn("idx", F.row_number().over(Window.partitionBy(*keys).orderBy("at")) - 1).select(*keys, "s", "idx")
+
+
+def delimited(rows: DataFrame, key: str, blob: Column) -> DataFrame:
+    """key, pos, s, ends: the strings of a blob in which each ends with a zero byte, and where those are."""
+    parts = F.split(blob, "\\x00")
+    each = rows.select(key, F.posexplode(F.slice(parts, 1, F.size(parts) - 1)).alias("pos", "s"))
+    so_far = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    return each.withColumn("ends", (F.sum(F.octet_length("s") + 1).over(so_far) - 1).cast("long"))
+
+
+def pack40(value: Column) -> Column:
+    """The low forty bits of a long as five bytes, the lowest first."""
+    parts = [F.lpad(F.hex(F.shiftright(value, 8 * k).bitwiseAND(255)), 2, "0") for k in range(5)]
+    return F.unhex(F.concat(*parts))
+
+
+def unpack40(packed: Column) -> Column:
+    parts = [F.conv(F.hex(F.substring(packed, k + 1, 1)), 16, 10).cast("long") * (1 << 8 * k) for k in range(5)]
+    return sum(parts[1:], parts[0])
 
 
 def size_label(size: Column) -> Column:

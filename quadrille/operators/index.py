@@ -86,3 +86,11 @@ def clustered(located: DataFrame, partitions: int) -> DataFrame:
     order = hilbert.ordered(F.col("h"))
     rows = located.withColumn("h_ord", order)
     return rows.repartitionByRange(partitions, "h_ord").sortWithinPartitions("h_ord", "kind", "osm_id")
+
+
+def included(leaf_tiles: DataFrame, listed: tuple[int, ...]) -> DataFrame:
+    """The leaves of a manifest's list, each once; all of them if the list is empty."""
+    if not listed:
+        return leaf_tiles
+    wanted = leaf_tiles.sparkSession.createDataFrame([(h,) for h in sorted(set(listed))], "tile_h long")
+    return leaf_tiles.join(F.broadcast(wanted), "tile_h", "left_semi")  # as small as the manifest

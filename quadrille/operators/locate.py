@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille.functions import geo, hilbert
+from quadrille.session import ensure_checkpoint_dir
 
 
 def way_points(ways: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -78,28 +79,52 @@ def way_locations(ways: DataFrame, points: DataFrame) -> DataFrame:
     return ways.select("osm_id").join(placed.select("osm_id", h.alias("h")), "osm_id", "left")
 
 
-def relation_locations(members: DataFrame, nodes: DataFrame, way_h: DataFrame, depth: int = 2) -> DataFrame:
-    """osm_id, h: mean h of the members with a location, as an unsigned integer division.
+def relation_states(members: DataFrame, nodes: DataFrame, way_h: DataFrame) -> DataFrame:
+    """osm_id, h, settled of every relation: mean h of the members with a location, as an unsigned integer division.
 
-    Relations within relations are settled level by level, ``depth`` levels at most; a member whose own location is not
-    known by then counts as unresolved, as any of a cycle does. Sums are combined before the shuffle.
+    A relation waits for the relations among its members, to any depth: each round settles those whose nested ones are
+    settled, until a round settles none. What waits then lies on a cycle, or waits for one: no h, not settled. Members that
+    don't exist, or were settled without a location, don't count. Sums are combined before the shuffle, and rounds move
+    only the links between relations.
     """
+    ensure_checkpoint_dir(members.sparkSession)
     known = nodes.select(F.lit("node").alias("type"), F.col("osm_id").alias("ref"), "h").unionByName(
         way_h.select(F.lit("way").alias("type"), F.col("osm_id").alias("ref"), "h")
     )
     flat = members.filter("type <> 'relation'").join(known.filter("h IS NOT NULL"), ["type", "ref"])
     wide = hilbert.unsigned(F.col("h")).cast("decimal(38,0)")
     base = flat.groupBy("relation").agg(F.sum(wide).alias("total"), F.count(F.lit(1)).alias("n"))
-    links = members.filter("type = 'relation'").select("relation", "ref")
     ids = members.select("relation").distinct()
+    sums = ids.join(base, "relation", "left").checkpoint()
+    links = members.filter("type = 'relation'").select("relation", "ref")
+    links = links.join(ids.withColumnRenamed("relation", "ref"), "ref", "left_semi").checkpoint()
 
     def mean(sums: DataFrame) -> DataFrame:
         value = F.expr("CAST(total DIV n AS DECIMAL(38,0))").cast("decimal(20,0)")
         return sums.select(F.col("relation").alias("osm_id"), hilbert.from_unsigned(value).alias("h"))
 
-    found = mean(base)
-    for _ in range(depth - 1):
-        nested = links.join(found.select(F.col("osm_id").alias("ref"), "h"), "ref")
-        nested = nested.groupBy("relation").agg(F.sum(wide).alias("total"), F.count(F.lit(1)).alias("n"))
-        found = mean(base.unionByName(nested).groupBy("relation").agg(F.sum("total").alias("total"), F.sum("n").alias("n")))
-    return ids.withColumnRenamed("relation", "osm_id").join(found, "osm_id", "left")
+    waiting = links.select("relation").distinct()
+    found = mean(sums.join(waiting, "relation", "left_anti")).checkpoint()
+    while not waiting.isEmpty():
+        settled = links.join(found.select(F.col("osm_id").alias("ref"), "h", F.lit(1).alias("one")), "ref", "left")
+        nested = settled.groupBy("relation").agg(
+            F.sum(F.when(F.col("h").isNotNull(), wide)).alias("more"), F.count("h").alias("m"), F.count_if(F.col("one").isNull()).alias("missing")
+        )
+        ready = nested.filter("missing = 0").join(sums, "relation").select(
+            "relation",
+            F.when(F.col("more").isNotNull() | F.col("total").isNotNull(), F.coalesce("more", F.lit(0)) + F.coalesce("total", F.lit(0))).alias("total"),
+            (F.col("m") + F.coalesce("n", F.lit(0))).alias("n"),
+        )
+        ready = mean(ready).checkpoint()
+        if ready.isEmpty():
+            break
+        found = found.unionByName(ready)
+        waiting = waiting.join(ready.select(F.col("osm_id").alias("relation")), "relation", "left_anti").checkpoint()
+        links = links.join(waiting, "relation", "left_semi").checkpoint()
+    stuck = waiting.select(F.col("relation").alias("osm_id"), F.lit(None).cast("long").alias("h"), F.lit(False).alias("settled"))
+    return found.withColumn("settled", F.lit(True)).unionByName(stuck)
+
+
+def relation_locations(members: DataFrame, nodes: DataFrame, way_h: DataFrame) -> DataFrame:
+    """osm_id, h of ``relation_states``."""
+    return relation_states(members, nodes, way_h).select("osm_id", "h")

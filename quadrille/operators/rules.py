@@ -2,27 +2,32 @@
 
 from __future__ import annotations
 
+import json
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.sources.manifest import Manifest
+from quadrille.sources.manifest import Manifest, parse, to_dict
 
 NO_RULE = "no_rule"
 TAG, VALUE, KEY = 0, 1, 2
 
 
-def lookups(spark: SparkSession, m: Manifest) -> DataFrame:
-    """class, k, v, rule: what each criterion leads to; of rules with the same one the last by name wins.
-
-    One row per criterion in the manifest, so it is as small as the manifest.
-    """
+def criteria(m: Manifest) -> dict[tuple, str]:
+    """(class, k, v) of each criterion to its rule; of rules with the same one the last by name wins."""
     rows: dict[tuple, str] = {}
     for name in sorted(m.rules):
         rule = m.rules[name]
         rows |= {(TAG, k, v): name for k, v in rule.tags}
         rows |= {(VALUE, None, v): name for v in rule.values}
         rows |= {(KEY, k, None): name for k in rule.keys}
-    return spark.createDataFrame([(*key, name) for key, name in rows.items()], "class int, k string, v string, rule string")
+    return rows
+
+
+def lookups(spark: SparkSession, m: Manifest) -> DataFrame:
+    """class, k, v, rule: what each criterion leads to. One row per criterion, so it is as small as the manifest."""
+    return spark.createDataFrame([(*key, name) for key, name in criteria(m).items()], "class int, k string, v string, rule string")
 
 
 def evals(spark: SparkSession, m: Manifest) -> DataFrame:
@@ -63,13 +68,14 @@ def unmatched(strings: DataFrame, tagged: DataFrame) -> DataFrame:
     return strings.join(seen, "s", "left_anti")
 
 
-def classify(tagged: DataFrame, rules: DataFrame) -> DataFrame:
+def classify(tagged: DataFrame, m: Manifest) -> DataFrame:
     """``tagged`` (kind, osm_id, tags) with rule: tag criteria before values before keys, then the order of tags.
 
     The three lookups fold to maps of the manifest's size and tags are matched within the row: no join, no
     shuffle, and no explosion of tags.
     """
-    maps = {c: {(r.k, r.v): r.rule for r in rules.filter(F.col("class") == c).collect()} for c in (TAG, VALUE, KEY)}
+    found = criteria(m)
+    maps = {c: {(k, v): rule for (kind, k, v), rule in found.items() if kind == c} for c in (TAG, VALUE, KEY)}
 
     def table(items: dict[str, str]):
         if not items:
@@ -91,3 +97,19 @@ def classify(tagged: DataFrame, rules: DataFrame) -> DataFrame:
         F.lit(NO_RULE),
     )
     return tagged.withColumn("rule", won)
+
+
+def save(m: Manifest, directory: str) -> None:
+    """The rules and layers beside the planet that was built with them."""
+    body = to_dict(m)
+    folder = Path(directory)
+    folder.mkdir(parents=True, exist_ok=True)
+    (folder / "rules.json").write_text(json.dumps({k: body[k] for k in ("render", "layers", "rules")}, indent=1))
+
+
+def open_saved(directory: str) -> Manifest:
+    """The rules of a planet; a missing or unreadable file gives the defaults: no rule but no_rule, at leaf zoom 12."""
+    try:
+        return parse(json.loads((Path(directory) / "rules.json").read_text()))
+    except (OSError, ValueError, KeyError, TypeError, AttributeError):
+        return parse({"render": {"leaf_zoom": 12}})

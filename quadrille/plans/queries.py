@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrille.functions import geo, hilbert, tile
-from quadrille.operators import content, document, index, rules
+from quadrille.operators import content, document, index, locate, rules
 from quadrille.sources import star
-from quadrille.sources.manifest import STAR
+from quadrille.sources.manifest import LISTED, STAR
 from quadrille.session import table
 
 Z = STAR.leaf_zoom
@@ -125,10 +125,12 @@ def tile_pyramid(spark, d):
 
 
 def tile_project(spark, d):
-    p = nodes_of(spark, d).select("osm_id", "x", "y", (F.col("osm_id") % 15).cast("int").alias("z"), F.lag("x").over(_by_id()).alias("ox"), F.lag("y").over(_by_id()).alias("oy"))
+    """Each node in the tile of the node before it, or of its own where its bucket has none before."""
+    x, y = F.col("x"), F.col("y")
+    p = nodes_of(spark, d).select("osm_id", "x", "y", (F.col("osm_id") % 15).cast("int").alias("z"), F.coalesce(F.lag(x).over(_by_id()), x).alias("ox"), F.coalesce(F.lag(y).over(_by_id()), y).alias("oy"))
     z = F.col("z")
-    p = p.filter("ox IS NOT NULL").withColumns({"tx": tile.shr(F.col("ox"), 32 - z), "ty": tile.shr(F.col("oy"), 32 - z)})
-    return p.select("osm_id", "z", "tx", "ty", tile.project(z, F.col("tx"), F.col("x")).cast("int").alias("px"), tile.project(z, F.col("ty"), F.col("y")).cast("int").alias("py"))
+    p = p.withColumns({"tx": tile.shr(F.col("ox"), 32 - z), "ty": tile.shr(F.col("oy"), 32 - z)})
+    return p.select("osm_id", "z", "tx", "ty", tile.project(z, F.col("tx"), x).cast("int").alias("px"), tile.project(z, F.col("ty"), y).cast("int").alias("py"))
 
 
 def _by_id():
@@ -171,10 +173,13 @@ def member_resolution(spark, d):
 
 
 def conversion_stats(spark, d):
+    """Entities, references and members, and how many of the last two don't resolve."""
     p = star.planet(spark, d)
     refs = p.way_points.agg(F.count(F.lit(1)).alias("n_refs"), F.count_if(F.col("h").isNull()).alias("unresolved_refs"))
     kinds = p.tagged.groupBy().agg(*[F.count_if(F.col("kind") == k).alias(f"n_{k}s") for k in ("node", "way", "relation")])
-    return kinds.crossJoin(F.broadcast(refs))  # one row by one row
+    lost = ~F.col("resolved")
+    members = member_resolution(spark, d).agg(F.count(F.lit(1)).alias("n_members"), *[F.count_if(lost & (F.col("type") == k)).alias(f"unresolved_{k}s") for k in ("node", "way", "relation")])
+    return kinds.crossJoin(F.broadcast(refs)).crossJoin(F.broadcast(members))  # one row each
 
 
 def dense_ids(spark, d):
@@ -182,8 +187,10 @@ def dense_ids(spark, d):
 
 
 def _strings(spark, d):
-    tags = star.planet(spark, d).tagged.filter("kind = 'node'").select("osm_id", F.posexplode("tags").alias("pos", "t"))
-    return tags.select((F.col("osm_id") * 16 + F.col("pos") * 2).alias("at"), "t.k", "t.v")
+    """at, k, v: the tags of nodes, ways and relations in their order."""
+    kind = F.element_at(F.create_map(F.lit("node"), F.lit(0), F.lit("way"), F.lit(1), F.lit("relation"), F.lit(2)), F.col("kind")).cast("long")
+    tags = star.planet(spark, d).tagged.select(kind.alias("kind"), "osm_id", F.posexplode("tags").alias("pos", "t"))
+    return tags.select((F.col("kind") * (1 << 44) + F.col("osm_id") * 16 + F.col("pos") * 2).alias("at"), "t.k", "t.v")
 
 
 def string_table(spark, d):
@@ -302,7 +309,7 @@ def unmatched_rule_strings(spark, d):
 
 
 def _classified(spark, d):
-    return rules.classify(star.planet(spark, d).tagged, rules.lookups(spark, STAR))
+    return rules.classify(star.planet(spark, d).tagged, STAR)
 
 
 def classify_entities(spark, d):
@@ -326,7 +333,7 @@ def tag_lookup(spark, d):
     """First value of a key, whether the key's first value is a given one, and the number of tags."""
     t = star.planet(spark, d).tagged
     status = F.get(F.filter("tags", lambda x: x["k"] == "status"), F.lit(0))["v"]
-    return t.filter("kind = 'way'").select("osm_id", status.alias("status"), F.coalesce(status == "O", F.lit(False)).alias("is_open"), F.size("tags").alias("n_tags"))
+    return t.select("kind", "osm_id", status.alias("status"), F.coalesce(status == "O", F.lit(False)).alias("is_open"), F.size("tags").alias("n_tags"))
 
 
 def _at_leaf(spark, d):
@@ -354,15 +361,19 @@ def leaf_compose(spark, d):
 
 
 def htile_compose(spark, d):
-    rows = content.compose(_content(spark, d), _at_leaf(spark, d), Z, 4)
-    return rows.groupBy("tile_h", "kind").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("osm_id").alias("ids"))
+    """Tiles of all zooms above the leaves; odd ones have nothing."""
+    at_leaf, shown = _at_leaf(spark, d), _content(spark, d)
+    parts = [content.compose(shown, at_leaf, Z, z).withColumn("z", F.lit(z)) for z in range(Z)]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    return rows.groupBy("z", "tile_h", "kind").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("osm_id").alias("ids"))
 
 
 def include_leaves(spark, d):
-    """Leaves chosen by a sorted list without repeats; unknown ones give nothing."""
+    """The leaves that the manifest lists, in any order and with repeats; unknown ones give nothing."""
     leaves = index.leaves(star.planet(spark, d).located, Z)
-    wanted = leaves.filter("tile_h % 7 = 0").select("tile_h").unionByName(leaves.filter("tile_h % 14 = 0").select("tile_h")).distinct()
-    return leaves.join(wanted, "tile_h", "left_semi").select("tile_h", "n", "w", "r")
+    return index.included(leaves, LISTED).select("tile_h", "n", "w", "r")
 
 
 def tag_projection(spark, d):
@@ -372,10 +383,10 @@ def tag_projection(spark, d):
 
 
 def layer_fanout(spark, d):
-    """Features per layer at zoom 4; a feature goes to every layer of its rule, and to none without one."""
-    shown = _content(spark, d).filter("z = 4").join(_rendered(spark, d).select("kind", "osm_id", "rule"), ["kind", "osm_id"])
+    """Features per tile and layer; a feature goes to every layer of its rule, and to none without one."""
+    shown = _content(spark, d).join(_rendered(spark, d).select("kind", "osm_id", "rule"), ["kind", "osm_id"])
     layers = F.broadcast(rules.layer_rules(spark, STAR))  # as small as the manifest
-    return shown.join(layers, "rule").groupBy("tile_h", "layer_pos", "layer").agg(F.count(F.lit(1)).alias("n"))
+    return shown.join(layers, "rule").groupBy("z", "tile_h", "layer_pos", "layer").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _leaf_points(spark, d):
@@ -412,10 +423,10 @@ def signed_area(spark, d):
 
 
 def tile_dictionary(spark, d):
-    """Strings of each zoom-2 tile in order of first use: features by kind and id, their properties in order."""
-    shown = _content(spark, d).filter("z = 2").join(content.project_tags(_rendered(spark, d)).select("kind", "osm_id", "props"), ["kind", "osm_id"])
+    """Strings of each tile in order of first use: features by kind and id, their properties in order."""
+    shown = _content(spark, d).join(content.project_tags(_rendered(spark, d)).select("kind", "osm_id", "props"), ["kind", "osm_id"])
     order = F.struct(F.element_at(F.create_map(F.lit("relation"), F.lit(0), F.lit("node"), F.lit(1), F.lit("way"), F.lit(2)), F.col("kind")).alias("k"), "osm_id")
-    return content.dictionary(shown.select("tile_h", order.alias("ord"), "props"))
+    return content.dictionary(shown.select("z", "tile_h", order.alias("ord"), "props"), ("z", "tile_h"))
 
 
 def report_rows(spark, d):
@@ -430,13 +441,13 @@ def report_rows(spark, d):
 def style_filter(spark, d):
     """A client's filter: features of a layer with a property and a geometry type."""
     types = geometry_type(spark, d).filter(F.col("type").isin(2, 3))
-    open_ = tag_lookup(spark, d).filter(F.col("status") == "O")
+    open_ = tag_lookup(spark, d).filter((F.col("kind") == "way") & (F.col("status") == "O"))
     return types.join(open_, "osm_id").select("osm_id", "type", "status")
 
 
 def pick_bbox(spark, d):
-    """Features with a point within forty units of the middle line of their leaf tile, each once."""
-    points = _leaf_points(spark, d).filter(F.col("tx").between(4056, 4136) | F.col("ty").between(4056, 4136))
+    """Features with a point in the box of four hundred units around the middle of their leaf tile, each once."""
+    points = _leaf_points(spark, d).filter(F.col("tx").between(3696, 4496) & F.col("ty").between(3696, 4496))
     return points.select("kind", "osm_id").distinct()
 
 
@@ -461,10 +472,19 @@ def info_layers(spark, d):
 
 
 def source_union(spark, d):
-    """Layers of several sources in one tile, in the order of the sources."""
-    first = layer_fanout(spark, d).select(F.lit(0).alias("source_pos"), "tile_h", "layer", "n")
-    counts = _content(spark, d).filter("z = 4").groupBy("tile_h").agg(F.count(F.lit(1)).alias("n"))
-    return first.unionByName(counts.select(F.lit(1).alias("source_pos"), "tile_h", F.lit("All entities").alias("layer"), "n"))
+    """Layers of several sources in one tile, in the order of the sources; a source that can't be opened is left out."""
+
+    def missing(spark, d):
+        raise FileNotFoundError("no such source")
+
+    def everything(spark, d):
+        counts = _content(spark, d).groupBy("z", "tile_h").agg(F.count(F.lit(1)).alias("n"))
+        return counts.select("z", "tile_h", F.lit("All entities").alias("layer"), "n")
+
+    def layered(spark, d):
+        return layer_fanout(spark, d).select("z", "tile_h", "layer", "n")
+
+    return document.union_sources([s for s in document.opened([layered, missing, everything], spark, d)])
 
 
 def _features(spark, d, z):
@@ -486,24 +506,131 @@ def tile_decode(spark, d):
 
 
 def tile_report(spark, d):
+    """What the reports of the leaf tiles say: size, features, and the dictionaries that names, keys and values point into."""
     docs = document.documents(_features(spark, d, Z), rules.layer_rules(spark, STAR))
-    return document.report(docs, ("include_features", "include_geometries"))
+    rows = document.report(docs, ("include_features", "include_geometries", "include_strings", "include_values"))
+    layer = "name STRING, count INT, features ARRAY<STRUCT<id: STRING, keys: ARRAY<STRING>, values: ARRAY<STRING>, geometries: ARRAY<ARRAY<STRUCT<x: INT, y: INT>>>>>"
+    shape = f"tile LONG, size STRING, layers ARRAY<STRUCT<{layer}>>, strings ARRAY<STRING>, values ARRAY<STRUCT<t: STRING, v: STRING>>"
+    r = rows.select("tile_h", F.from_json("report", shape).alias("r"))
+    # keys and values as a reader of the report finds them
+    features = F.flatten(F.transform("r.layers", lambda x: x["features"]))
+    told = F.transform(features, lambda f: F.array_join(F.zip_with(f["keys"], f["values"], lambda k, v: F.concat_ws("=", F.get("r.strings", k.cast("int")), _value(v))), ";"))
+    names = F.transform("r.layers", lambda x: F.get("r.strings", x["name"].cast("int")))
+    return r.select(
+        "tile_h", "r.size", F.array_join(names, ",").alias("layer_names"), F.array_join(F.transform("r.layers", lambda x: x["count"].cast("string")), ",").alias("counts"),
+        F.array_join(F.array_sort(told), "|").alias("properties"), F.size("r.strings").alias("n_strings"), F.size("r.values").alias("n_values"),
+        F.aggregate(features, F.lit(0), lambda a, f: a + F.size(F.get(f["geometries"], F.lit(0)))).alias("n_points"),
+    )
+
+
+def _value(place):
+    value = F.get("r.values", place.cast("int"))
+    return F.when(value["t"] == "Number", value["v"].cast("double").cast("long").cast("string")).otherwise(F.get("r.strings", value["v"].cast("int")))
 
 
 def feature_geojson(spark, d):
-    return document.geojson(_features(spark, d, Z), Z)
+    """What the GeoJSON of each feature of the leaf tiles says."""
+    rows = document.geojson(_features(spark, d, Z), Z)
+    shape = "type STRING, id STRING, properties MAP<STRING, STRING>, geometry STRUCT<type: STRING, coordinates: STRING>"
+    r = rows.select("tile_h", "kind", "osm_id", F.from_json("geojson", shape).alias("g"))
+    points = F.regexp_extract_all("g.geometry.coordinates", F.lit("\\[(-?[0-9.E-]+),(-?[0-9.E-]+)\\]"), F.lit(0))
+    at = F.transform(points, lambda t: F.from_json(t, "array<double>"))
+    micro = lambda i, f: F.round(f(F.transform(at, lambda q: F.get(q, F.lit(i)))) * 1000, 0).cast("long")
+    return r.select(
+        "tile_h", "kind", "osm_id", F.col("g.type").alias("type"), F.col("g.id").cast("long").alias("id"), F.col("g.geometry.type").alias("geometry"), F.size(points).alias("n_points"),
+        F.col("g.properties")["rule"].alias("rule"), micro(0, F.array_min).alias("west"), micro(0, F.array_max).alias("east"), micro(1, F.array_min).alias("south"), micro(1, F.array_max).alias("north"),
+    )
 
 
 def layer_mute_solo(spark, d):
-    """Layers left when some are muted; a solo list would override it."""
+    """Layers left when some are muted, when some are soloed as well (which overrides), and when neither is."""
     layers = rules.layer_rules(spark, STAR).select("layer_pos", "layer").distinct()
-    return layers.filter(~F.col("layer").isin("Orders", "Parts"))
+    cases = (("mute", ("Orders", "Parts"), ()), ("solo", ("Orders", "Parts"), ("Parts", "Regions")), ("all", (), ()))
+    out = None
+    for name, mute, solo in cases:
+        rows = document.heard(layers, mute, solo).select(F.lit(name).alias("state"), "layer_pos", "layer")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def block_types(spark, d):
-    """Runs of a sorted event log by type: how many blocks of each, and the first."""
+    """Blocks sorted by type, granularity and start, in runs of one type: how many, and the run's place in the order."""
     e = table(spark, d, "events")
-    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"))
+    runs = e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.min_by("event_id", F.struct("user_id", "event_id")).alias("first_block"))
+    # one row per type
+    rows = index.exclusive_totals(runs, F.lit(0), ["event_type"], {"first": "n"})
+    return rows.select("event_type", "n", "first_block", "first", (F.col("first") + F.col("n")).alias("next_first"))
+
+
+def nested_relations(spark, d):
+    """Relations to any depth: four levels, a missing member, a cycle and what waits for it."""
+    p = star.planet(spark, d)
+    return locate.relation_states(star.nested_members(spark, d), p.nodes, p.way_h)
+
+
+def tile_find(spark, d):
+    """The lookup of a tile for each node, at all zooms: a leaf, a tile of the pyramid with its children, or none."""
+    wanted = tiles_of(spark, d).select("z", "h").distinct()
+    found = star.archive(spark, d)
+    leaves = found.leaves.select(F.lit(Z).alias("z"), F.col("tile_h").alias("h"), F.lit("leaf").alias("found"), F.lit(0).alias("mask"), (F.col("n") + F.col("w") + F.col("r")).alias("entities"))
+    tiles = found.tiles.select("z", "h", F.lit("tile").alias("found"), "mask", F.lit(None).cast("long").alias("entities"))
+    return wanted.join(leaves.unionByName(tiles), ["z", "h"], "left").select("z", "h", F.coalesce("found", F.lit("none")).alias("found"), "mask", "entities")
+
+
+def archive_root(spark, d):
+    """What the root tile of an opened archive shows, and its children."""
+    found = star.archive(spark, d)
+    rows = found.compose(0, 0).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("osm_id").alias("ids"))
+    return rows.crossJoin(F.broadcast(found.find(0, 0).select("mask", "children")))  # three rows by one
+
+
+def origin_leaf(spark, d):
+    """The first leaf under each tile of the pyramid: the end of its chain of first children."""
+    leaves = index.leaves(star.planet(spark, d).located, Z)
+    rows = leaves.select("tile_h", F.explode(F.sequence(F.lit(0), F.lit(Z - 2), F.lit(2))).alias("z"))
+    up = ((Z - F.col("z")) * 2).cast("int")
+    return rows.groupBy("z", F.call_function("shiftrightunsigned", "tile_h", up).alias("h")).agg(F.min("tile_h").alias("leaf_h"))
+
+
+def info_features(spark, d):
+    """The tile inspector's three layers: boundary ring, bearing line and centre of every tile of a pyramid, in its root's units."""
+    t = tiles_of(spark, d).select("z", "x", "y").distinct()
+    return document.info_features(pyramid_of(t, 1, 14))
+
+
+def basic_tile(spark, d):
+    """The fixed tile: a boundary and a centre, with the tile's own numbers as properties."""
+    return document.basic(_distinct_tiles(spark, d))
+
+
+def style_layers(spark, d):
+    """A client's style layers by data layer: "name type" split at the last blank, and one row per name with its layers by type."""
+    names = rules.layer_rules(spark, STAR).select("layer_pos", "layer").distinct()
+    kinds = F.explode(F.filter(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(t).alias("t")) for k, t in enumerate(("fill", "line", "circle", "symbol"))]), lambda x: (F.col("layer_pos") + x["k"]) % 3 != 0)).alias("x")
+    ids = names.select("layer_pos", "layer", kinds).select(
+        (F.col("layer_pos") * 4 + F.col("x.k")).alias("place"), F.concat(F.lit("Osm "), F.col("layer"), F.lit(" "), F.col("x.t")).alias("id")
+    )
+    return document.style_layers(ids)
+
+
+def delimiter_scan(spark, d):
+    """Strings in a blob, each ended by a zero byte: the strings, and the places of their ends."""
+    blob = F.concat(F.replace("p_type", F.lit(" "), F.lit("\x00")), F.lit("\x00"))
+    return content.delimited(table(spark, d, "part").select("p_partkey", blob.alias("blob")), "p_partkey", F.col("blob"))
+
+
+def utf8_validation(spark, d):
+    """Strings of bytes, some cut within a character: whether they are UTF-8, and what can be read of them."""
+    whole = F.concat(F.col("p_name"), F.lit("é")).cast("binary")
+    cut = F.when(F.col("p_partkey") % 3 == 0, F.substring(whole, F.lit(1), F.octet_length(whole) - 1)).otherwise(whole)
+    text = cut.cast("string")
+    return table(spark, d, "part").select("p_partkey", F.is_valid_utf8(text).alias("valid"), F.try_validate_utf8(text).alias("s"))
+
+
+def packed_ids(spark, d):
+    """Ids in five bytes, the lowest first, and back."""
+    rows = nodes_of(spark, d).select("osm_id", content.pack40(F.col("osm_id")).alias("packed"))
+    return rows.select("osm_id", F.hex("packed").alias("packed"), content.unpack40(F.col("packed")).alias("unpacked"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -515,4 +642,5 @@ QUERIES = {f.__name__: f for f in (
     untagged_filter, zoom_filter, tag_lookup, tile_content, tile_content_independent, leaf_compose, htile_compose, include_leaves,
     tag_projection, layer_fanout, feature_geometry, geometry_type, signed_area, tile_dictionary, report_rows, style_filter, pick_bbox,
     info_layers, source_union, tile_document, tile_decode, tile_report, feature_geojson, layer_mute_solo, block_types,
+    nested_relations, tile_find, archive_root, origin_leaf, info_features, basic_tile, style_layers, delimiter_scan, utf8_validation, packed_ids,
 )}

@@ -134,3 +134,4 @@ STAR = parse(
         },
     }
 )
+LISTED = (*range(65534, 0, -7), *range(0, 65536, 14), 7, 1 << 40)  # a list of leaves: unsorted, with repeats and unknown ones

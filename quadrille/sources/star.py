@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quadrille.functions import geo
 from quadrille.operators import locate
 from quadrille.session import ensure_checkpoint_dir, table
+from quadrille.sources.manifest import STAR
 
 NODE_COLUMNS = ("osm_id", "lon", "lat", "tags")
 
@@ -135,6 +136,16 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def nested_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``members``, and relations above the regions: four levels, a member that is missing, a cycle and one that waits for it."""
+    more = [(2000, 1, "relation", r, "region") for r in range(1000, 1005)] + [
+        (2000, 2, "node", 2000000001, "customer"), (3000, 1, "relation", 2000, "world"), (3000, 2, "relation", 1, "nation"), (3000, 3, "relation", 9999, "lost"),
+        (4000, 1, "relation", 3000, "universe"), (5001, 1, "relation", 5002, "ring"), (5001, 2, "node", 2000000002, "customer"), (5002, 1, "relation", 5001, "ring"),
+        (6000, 1, "relation", 5001, "ring"), (6000, 2, "node", 2000000003, "customer"), (7000, 1, "relation", 9999, "lost"), (8000, 1, "relation", 7000, "empty"),
+    ]
+    return members(spark, sf_dir).unionByName(spark.createDataFrame(more, "relation long, pos long, type string, ref long, role string"))
+
+
 _built: dict[tuple[str, str], Planet] = {}
 
 
@@ -149,3 +160,18 @@ def planet(spark: SparkSession, sf_dir: str) -> Planet:
         built.__dict__["relation_h"] = built.relation_h.checkpoint()
         _built[key] = built
     return _built[key]
+
+
+_archives: dict[tuple[str, str], object] = {}
+
+
+def archive(spark: SparkSession, sf_dir: str):
+    """The build of ``planet`` as an opened archive, written once per session beside the checkpoints."""
+    from quadrille.sources import archive as archives  # which builds on this module
+
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _archives:
+        folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/archive-{spark.sparkContext.applicationId}-{len(_archives)}"
+        archives.write(spark, planet(spark, sf_dir), STAR, folder)
+        _archives[key] = archives.Archive(STAR, *archives.tables(spark, folder))
+    return _archives[key]

@@ -112,5 +112,5 @@ def test_rule_precedence(spark):
     m = manifest.parse(raw)
     rows = [("node", 1, [("k1", "x"), ("k2", "v2"), ("k3", "v3")]), ("node", 2, [("k1", "x"), ("k2", "v2")]), ("node", 3, [("k1", "x")]), ("node", 4, [])]
     df = spark.createDataFrame(rows, "kind string, osm_id long, tags array<struct<k:string,v:string>>")
-    got = {r.osm_id: r.rule for r in rules.classify(df, rules.lookups(spark, m)).collect()}
+    got = {r.osm_id: r.rule for r in rules.classify(df, m).collect()}
     assert got == {1: "d", 2: "b", 3: "a", 4: "no_rule"}
