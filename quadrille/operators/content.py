@@ -97,8 +97,8 @@ def unpack40(packed: Column) -> Column:
 
 
 def size_label(size: Column) -> Column:
-    """A byte count in K, or in M above one MiB."""
-    mega, kilo = size / 1048576.0, size / 1024.0
+    """A byte count in K, or in M above one MiB, with two digits; halves go to the even one."""
+    mega, kilo = F.bround(size / 1048576.0, 2), F.bround(size / 1024.0, 2)
     return F.when(size > 1048576, F.format_string("%.2f M", mega)).otherwise(F.format_string("%.2f K", kilo))
 
 
