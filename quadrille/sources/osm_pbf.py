@@ -3,14 +3,16 @@
     spark.dataSource.register(OsmPbf)
     spark.read.format("osm_pbf").option("kind", "nodes").load(path)
 
-Planning reads block headers only. A task reads its block, inflates it and sends Arrow batches. Kinds: header,
-nodes, ways, relations. Blocks without the kind are skipped after a look at their group tags.
+Planning walks the chain of block headers only. A task reads its block, inflates it and sends Arrow batches. Kinds: header,
+nodes, ways, relations, and blocks (an index with what each block holds). A block without the kind gives nothing after
+a look at its group tags: its strings are not decoded. A header that can't be read ends the chain, with a warning.
 """
 
 from __future__ import annotations
 
 import os
 import struct
+import warnings
 import zlib
 from dataclasses import dataclass
 from glob import glob
@@ -23,6 +25,7 @@ SCHEMAS = {
     "replication_timestamp LONG, replication_sequence_number LONG, replication_base_url STRING",
     "nodes": f"osm_id LONG, lon INT, lat INT, {TAGS}",
     "ways": f"osm_id LONG, refs ARRAY<LONG>, {TAGS}",
+    "blocks": "path STRING, start LONG, size LONG, type STRING, granularity INT",
     "relations": f"osm_id LONG, members ARRAY<STRUCT<type: STRING, ref: LONG, role: STRING>>, {TAGS}",
 }
 GROUPS = {"nodes": 2, "ways": 3, "relations": 4}
@@ -92,19 +95,37 @@ class Block(InputPartition):
 
 
 def block_index(path: str) -> list[Block]:
-    """The blocks of a file, by its chain of block headers; what can't be read ends the chain."""
+    """The blocks of a file, by its chain of block headers; a header that can't be read ends the chain."""
     out, at, total = [], 0, os.path.getsize(path)
     with open(path, "rb") as file:
         while at + 4 <= total:
             file.seek(at)
-            (size,) = struct.unpack(">I", file.read(4))
-            header = dict(fields(file.read(size)))
-            data = header[3]
-            out.append(Block(path, header[1].decode(), at + 4 + size, data))
+            try:
+                (size,) = struct.unpack(">I", file.read(4))
+                header = dict(fields(file.read(size)))
+                data, kind = header[3], header[1].decode()
+                if at + 4 + size + data > total:
+                    raise ValueError("the file ends within the block")
+            except (ValueError, KeyError, IndexError, AttributeError, UnicodeDecodeError) as problem:
+                warnings.warn(f"{path}: no block at {at}: {problem}", stacklevel=2)
+                break
+            out.append(Block(path, kind, at + 4 + size, data))
             at += 4 + size + data
     return out
 
 
+def block_type(buf: bytes) -> tuple[str, int]:
+    """What a data block holds, by the tags of its first group, and its granularity; nothing is decoded."""
+    kind, granularity = "", 100
+    for number, value in fields(buf):
+        if number == 2 and not kind:
+            tags = {n for n, _ in fields(value)}
+            kind = next((k for k, n in GROUPS.items() if n in tags), "other" if tags else "")
+        elif number == 17:
+            granularity = value
+    return kind or "empty", granularity
+
+
 def inflate(block: Block) -> bytes:
     with open(block.path, "rb") as file:
         file.seek(block.start)
@@ -133,11 +154,11 @@ def header_row(buf: bytes) -> dict:
 
 def data_rows(buf: bytes, kind: str):
     """Rows of one kind in a data block."""
-    strings: list[str] = []
+    table = b""
     groups, granularity, lat_offset, lon_offset = [], 100, 0, 0
     for number, value in fields(buf):
         if number == 1:
-            strings = [s.decode() for k, s in fields(value) if k == 1]
+            table = value
         elif number == 2:
             groups.append(value)
         elif number == 17:
@@ -146,10 +167,14 @@ def data_rows(buf: bytes, kind: str):
             lat_offset = signed64(value)
         elif number == 20:
             lon_offset = signed64(value)
+    tags = [[number for number, _ in fields(group)] for group in groups]
+    if any(number in (1, 5) for numbers in tags for number in numbers):
+        raise ValueError("plain nodes and changesets are not supported")
+    if not any(GROUPS[kind] in numbers for numbers in tags):
+        return
+    strings = [s.decode() for k, s in fields(table) if k == 1]
     for group in groups:
         for number, value in fields(group):
-            if number in (1, 5):
-                raise ValueError("plain nodes and changesets are not supported")
             if number != GROUPS[kind]:
                 continue
             found = dict(fields(value))
@@ -192,15 +217,21 @@ class PbfReader(DataSourceReader):
 
     def partitions(self) -> list[Block]:
         files = sorted(glob(os.path.join(self.path, "*.pbf"))) if os.path.isdir(self.path) else sorted(glob(self.path))
-        wanted = "OSMHeader" if self.kind == "header" else "OSMData"
-        return [b for f in files for b in block_index(f) if b.kind == wanted]
+        wanted = {"header": ("OSMHeader",), "blocks": ("OSMHeader", "OSMData")}.get(self.kind, ("OSMData",))
+        return [b for f in files for b in block_index(f) if b.kind in wanted]
 
     def read(self, block: Block):
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
 
         shape = to_arrow_schema(self.schema)
-        rows = [header_row(inflate(block))] if self.kind == "header" else data_rows(inflate(block), self.kind)
+        if self.kind == "header":
+            rows = [header_row(inflate(block))]
+        elif self.kind == "blocks":
+            kind, granularity = ("header", None) if block.kind == "OSMHeader" else block_type(inflate(block))
+            rows = [{"path": block.path, "start": block.start, "size": block.size, "type": kind, "granularity": granularity}]
+        else:
+            rows = data_rows(inflate(block), self.kind)
         held = []
         for row in rows:
             held.append(row)
@@ -211,11 +242,16 @@ class PbfReader(DataSourceReader):
             yield pa.RecordBatch.from_pylist(held, schema=shape)
 
 
+def blocks(spark, path: str):
+    """The index of all blocks, in order of type, granularity and place. Blocks are looked into by the tasks."""
+    spark.dataSource.register(OsmPbf)
+    rows = spark.read.format("osm_pbf").option("kind", "blocks").load(path)
+    return rows.orderBy("type", "granularity", "path", "start")
+
+
 def granularities(spark, path: str) -> int:
     """Greatest common divisor of the granularities of all data blocks; 100 in practice."""
     import math
 
-    found = 0
-    for block in PbfReader({"kind": "nodes", "path": path}, None).partitions():
-        found = math.gcd(found, next((v for k, v in fields(inflate(block)) if k == 17), 100))
-    return found or 100
+    found = blocks(spark, path).filter("granularity IS NOT NULL").select("granularity").distinct().collect()
+    return math.gcd(*[r.granularity for r in found]) or 100

@@ -89,6 +89,16 @@ def test_pbf(spark, tmp_path):
     head = read("header").first()
     assert (head.bbox_left, head.bbox_right, head.writingprogram, head.replication_sequence_number) == (-12202797451, 0, "writer", 4)
     assert osm_pbf.granularities(spark, str(path)) == 100
+    assert [(r.type, r.granularity) for r in osm_pbf.blocks(spark, str(path)).collect()] == [("header", None), ("nodes", 100), ("ways", 100)]
+    whole = osm_pbf.block_index(str(path))
+    path.write_bytes(path.read_bytes() + b"\0\0\0\3xyz and no block")
+    with pytest.warns(UserWarning, match="no block"):
+        assert osm_pbf.block_index(str(path)) == whole
+    path.write_bytes(path.read_bytes()[: whole[-1].start + 3])
+    with pytest.warns(UserWarning, match="ends within"):
+        assert osm_pbf.block_index(str(path)) == whole[:-1]
+    with pytest.raises(ValueError, match="plain nodes"):
+        list(osm_pbf.data_rows(strings + blob(2, blob(1, b"")), "nodes"))
 
 
 def test_manifest(tmp_path):
@@ -114,3 +124,113 @@ def test_rule_precedence(spark):
     df = spark.createDataFrame(rows, "kind string, osm_id long, tags array<struct<k:string,v:string>>")
     got = {r.osm_id: r.rule for r in rules.classify(df, m).collect()}
     assert got == {1: "d", 2: "b", 3: "a", 4: "no_rule"}
+
+
+FOUR = [(137747, -1220279745, 370491457), (137750, -1220267360, 369514859), (137752, -1220267093, 369514589), (137754, -1220268977, 369495675)]
+RULES = """
+data: {source: four.osm, planet: out}
+render: {leaf_zoom: 12, layer_order: [Paths, Areas]}
+layers: {Paths: [path], Areas: [area]}
+rules: {path: {minzoom: 4, keys: [path], include: {Keys: [path]}}, area: {minzoom: 0, tags: [[type, area]], include: All}}
+"""
+
+
+def four(tmp_path):
+    nodes = "".join(f'<node id="{i}" lon="{lon / 1e7:.7f}" lat="{lat / 1e7:.7f}"><tag k="n" v="{i}"/></node>' for i, lon, lat in FOUR)
+    way = '<way id="7"><nd ref="137747"/><nd ref="137754"/><tag k="path" v="yes"/></way>'
+    relation = '<relation id="5"><member type="way" ref="7" role=""/><member type="node" ref="137752" role=""/><tag k="type" v="area"/><tag k="type" v="twice"/></relation>'
+    (tmp_path / "four.osm").write_text(f"<osm>{nodes}{way}{relation}</osm>")
+    (tmp_path / "manifest.yaml").write_text(RULES)
+    return manifest.load(str(tmp_path))
+
+
+def test_archive(spark, tmp_path):
+    from quadrille.operators import document
+    from quadrille.sources import archive
+
+    m = four(tmp_path)
+    archive.build(spark, m)
+    found = archive.open_(spark, m.planet)
+    assert found.manifest.rules == m.rules
+    mean = (3660422102463285814 + 3660407336235658654) // 2 >> 40  # of the relation's members
+    leaves = [(r.tile_h, r.n, r.w, r.r) for r in found.leaves.orderBy("tile_h").collect()]
+    assert leaves == [(3329120, 1, 0, 0), (3329121, 2, 0, 0), (mean, 0, 0, 1), (3329134, 1, 1, 0)]
+    assert found.find(12, 3329121).count() == 1 and found.find(12, 3329122).count() == 0
+    assert found.find(11, 3329121 >> 2).count() == 0 and found.find(14, 3329121 << 4).count() == 0
+    root = found.find(0, 0).first()
+    assert (root.z, root.tile_h, root.children) == (0, 0, 1)
+    above = found.find(10, 3329121 >> 4).first()
+    assert above.children == 4 and above.mask == sum(1 << (h & 15) for h in (3329120, 3329121, mean, 3329134))
+
+    def shown(z, h):
+        return sorted((r.kind, r.osm_id) for r in found.compose(z, h).collect())
+
+    # the way reaches into the leaf of its last node, the relation into those of its members
+    assert shown(12, mean) == [("relation", 5)]
+    assert shown(12, 3329120) == [("node", 137754), ("way", 7)]
+    assert shown(12, 3329121) == [("node", 137750), ("node", 137752), ("relation", 5)]
+    assert shown(12, 3329134) == [("node", 137747), ("relation", 5), ("way", 7)]
+    assert shown(4, 3329121 >> 16) == [("relation", 5), ("way", 7)] and shown(0, 0) == [("relation", 5)]
+    assert shown(3, 3329121 >> 18) == []
+    layers = found.tile(12, 3329134).first().layers
+    assert [(x.name, [f.osm_id for f in x.features]) for x in layers] == [("no_rule", [137747]), ("Paths", [7]), ("Areas", [5])]
+    area = layers[2].features[0]
+    assert list(zip(area["keys"], area["values"])) == [("rule", "area"), ("osm_id", "5"), ("type", "area"), ("type", "twice")]
+    # of equal keys the last counts where properties are a map
+    rows = {r.id: r.properties for r in document.decoded(found.tile(12, 3329134)).collect()}
+    assert {"rule": "area", "osm_id": "5", "type": "twice"} in rows.values()
+    plan = found.find(12, 3329121)._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(tile_h,3329121)" in plan
+    plan = found.compose(4, 3329121 >> 16)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "EqualTo(tile_h," in plan
+
+
+def test_archive_twice_and_rules_fallback(spark, tmp_path):
+    from quadrille.sources import archive
+
+    m = four(tmp_path)
+    archive.build(spark, m)
+    again = archive.build(spark, m)
+    assert again.leaves.count() == 4
+    assert rules.open_saved(m.planet).rules == m.rules
+    assert rules.open_saved(str(tmp_path / "nowhere")).rules == {}
+    (tmp_path / "rules.json").write_text("{")
+    assert rules.open_saved(str(tmp_path)).leaf_zoom == 12
+
+
+def test_polygons(spark):
+    from pyspark.sql import functions as F
+
+    from quadrille.operators import document
+
+    def ring(x, y, n, back=False):
+        points = [(x, y), (x, y + n), (x + n, y + n), (x + n, y), (x, y)]
+        return points[::-1] if back else points
+
+    rings = [ring(0, 0, 100), ring(10, 10, 5, True), ring(30, 30, 5, True), ring(200, 0, 50), ring(210, 10, 5, True)]
+    df = spark.createDataFrame([(rings,), ([ring(0, 0, 9)],)], "g array<array<struct<x:int,y:int>>>")
+    first, second = (r.p for r in df.select(document.polygons(F.col("g")).alias("p")).collect())
+    assert [[tuple(map(tuple, q)) for q in p] for p in first] == [[tuple(rings[0]), tuple(rings[1]), tuple(rings[2])], [tuple(rings[3]), tuple(rings[4])]]
+    assert len(second) == 1 and len(second[0]) == 1
+
+
+def test_written_tiles_and_reports(spark, tmp_path):
+    import datetime
+    import json
+
+    from quadrille.operators import document
+    from quadrille.sources import archive
+
+    found = archive.build(spark, four(tmp_path))
+    docs = found.tile(12, 3329134).unionByName(found.tile(12, 3329120))
+    document.write_tiles(docs, 12, str(tmp_path / "tiles"))
+    back = spark.read.json(str(tmp_path / "tiles"))
+    assert sorted((r.z, r.tile_h) for r in back.select("z", "tile_h").collect()) == [(12, 3329120), (12, 3329134)]
+    path = document.write_report(docs, ("include_strings", "lookup_strings_and_values", "include_features"), str(tmp_path), datetime.datetime(2020, 1, 2, 3, 4, 5))
+    assert path.endswith("report-2020-01-02_03-04-05")
+    told = [json.loads(r.value) for r in spark.read.text(path).collect()]
+    last = next(t for t in told if t["tile"] == 3329134)
+    assert [x["name"] for x in last["layers"]] == ["no_rule", "Paths", "Areas"] and "geometries" not in last["layers"][0]["features"][0]
+    assert last["layers"][1]["features"][0]["keys"] == ["rule", "path"] and set(last["strings"]) >= {"rule", "path", "yes", "Areas"}
+    short = document.report(docs).first().report
+    assert "features" not in short and "strings" not in short
