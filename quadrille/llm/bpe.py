@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
@@ -30,7 +31,7 @@ from quadrille.llm.remote import remote
 
 SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
-CACHE = 100_000
+CACHE = 200_000  # merged pre-tokens to remember, and as many of the generation before
 
 
 @lru_cache(1)
@@ -171,6 +172,31 @@ class PerfectHash:
         return self.key[slot]
 
 
+def _distinct(data: np.ndarray, start: np.ndarray, end: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first span of each content, and which of those each span equals. Names propose, bytes decide."""
+    _, first, which = np.unique(names, return_index=True, return_inverse=True)
+    lengths, like = end - start, first[which]
+    same = lengths == lengths[like]
+    some = np.flatnonzero(same & (like != np.arange(len(start))))
+    if len(some):
+        sizes = lengths[some]
+        inner = ragged(sizes)
+        differ = data[np.repeat(start[some], sizes) + inner] != data[np.repeat(start[like[some]], sizes) + inner]
+        same[some] = np.add.reduceat(differ, np.cumsum(sizes) - sizes) == 0
+    odd = np.flatnonzero(~same)
+    if len(odd):  # two contents of one name
+        places: dict[bytes, int] = {}
+        more = []
+        for k, s, e in zip(odd.tolist(), start[odd].tolist(), end[odd].tolist()):
+            piece = data[s:e].tobytes()
+            if piece not in places:
+                places[piece] = len(first) + len(more)
+                more.append(k)
+            which[k] = places[piece]
+        first = np.append(first, more)
+    return first, which
+
+
 class Vocabulary:
     def __init__(self, path: str) -> None:
         with open(path, "rb") as file:
@@ -183,7 +209,8 @@ class Vocabulary:
         self.place = np.full(int(self.ids.max()) + 1, -1, np.int64)
         self.place[self.ids] = np.arange(len(tokens))
         self.hash = PerfectHash(*self._hashes(self.blob, self.at[:-1], self.at[1:]))
-        self.cache: dict[bytes, list[int]] = {}
+        self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     @staticmethod
     def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -217,24 +244,21 @@ class Vocabulary:
         counts = np.ones(len(start), np.int64)
         if len(miss):
             if len(self.cache) > CACHE:
-                self.cache.clear()
-            cache, ranks, raw, merged = self.cache, self.ranks, data.tobytes(), []
-            places: dict[bytes, int] = {}  # misses are one where their bytes are
-            which = np.empty(len(miss), np.int64)
-            for k, (s, e) in enumerate(zip(start[miss].tolist(), end[miss].tolist())):
+                self.cache, self.older = {}, self.cache
+            first, which = _distinct(data, start[miss], end[miss], h1[miss])
+            cache, older, ranks, raw, merged = self.cache, self.older, self.ranks, data.tobytes(), []
+            for s, e in zip(start[miss[first]].tolist(), end[miss[first]].tolist()):
                 piece = raw[s:e]
-                place = places.get(piece)
-                if place is None:
-                    place = places[piece] = len(merged)
-                    ids = cache.get(piece)
+                ids = cache.get(piece)
+                if ids is None:
+                    ids = older.get(piece)
                     if ids is None:
-                        ids = merge(piece, ranks)
-                        if e - s <= 64:
-                            cache[piece] = ids
-                    merged.append(ids)
-                which[k] = place
-            sizes = np.fromiter(map(len, merged), np.int64, len(merged))
-            flat = np.fromiter((i for ids in merged for i in ids), np.int32, int(sizes.sum()))
+                        ids = array("i", merge(piece, ranks)).tobytes()
+                    if e - s <= 64:
+                        cache[piece] = ids
+                merged.append(ids)
+            sizes = np.fromiter(map(len, merged), np.int64, len(merged)) // 4
+            flat = np.frombuffer(b"".join(merged), np.int32)
             counts[miss] = sizes[which]
         to = np.cumsum(counts) - counts
         out = np.empty(int(counts.sum()), np.int32)

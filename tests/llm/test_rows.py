@@ -44,6 +44,15 @@ def test_bpe_agrees(spark, reference):
     assert bpe.round_trip(df.limit(0), PATH).count() == 0
 
 
+def test_spans_of_one_name_are_told_apart():
+    data = np.frombuffer(b"ababcdabxyab", np.uint8)
+    start, end = np.array([0, 2, 4, 6, 8, 10]), np.array([2, 4, 6, 8, 10, 12])
+    for names in (np.zeros(6, np.uint64), np.array([1, 1, 2, 1, 2, 1], np.uint64)):
+        first, which = bpe._distinct(data, start, end, names)
+        assert [data[start[first[w]] : end[first[w]]].tobytes() for w in which] == [data[a:b].tobytes() for a, b in zip(start, end)]
+        assert len({data[start[k] : end[k]].tobytes() for k in first}) == len(first) == 3
+
+
 def test_perfect_hash_is_minimal():
     words = bpe.vocabulary(PATH)
     assert sorted(words.hash.key.tolist()) == list(range(len(words.ids)))
