@@ -85,6 +85,18 @@ def _repeated(words: Column) -> Column:
     return F.when(n < 4, none).otherwise(let(hashes, by_hash))
 
 
+def has_phrase(text: Column) -> Column:
+    """Whether a known phrase occurs in the text, in letters of any case."""
+
+    def among(low: Column) -> Column:
+        found = F.lit(False)
+        for p in PHRASES:
+            found = found | F.contains(low, F.lit(p))
+        return found
+
+    return let(F.lower(text), among)
+
+
 def line_fails(line: Column, words: Column, marks: Column) -> Column:
     """Whether a line with words breaks a rule. ``marks`` tells what its document contains at all.
 
@@ -96,16 +108,13 @@ def line_fails(line: Column, words: Column, marks: Column) -> Column:
     - boilerplate: it holds one of the known phrases.
     """
     n = F.size(words)
-    phrase = F.lit(False)
-    for p in PHRASES:
-        phrase = phrase | F.contains(F.lower(line), F.lit(p))
     return (
         ((n < 10) & ~F.rlike(line, F.lit(ENDED)))
         | (marks["menu"] & (F.regexp_count(line, F.lit(MENU)) * 4 > n))
         | (marks["symbols"] & (F.regexp_count(line, F.lit(SYMBOLS)) * 3 > n))
         | ((n >= 8) & (F.size(F.array_distinct(words)) * 4 < n))
         | ((n >= 3) & (F.upper(line) == line) & (F.lower(line) != line))
-        | (marks["phrase"] & phrase)
+        | (marks["phrase"] & has_phrase(line))
     )
 
 
@@ -147,11 +156,8 @@ def quality(
 
         return let(F.filter(F.transform(F.split(text, "\n"), one), lambda x: F.size(x["words"]) > 0), judged)
 
-    phrase = F.lit(False)
-    for p in PHRASES:
-        phrase = phrase | F.contains(F.lower(text), F.lit(p))
     marks = F.struct(
-        F.rlike(text, F.lit(MENU_MARKS)).alias("menu"), F.rlike(text, F.lit(SYMBOLS)).alias("symbols"), phrase.alias("phrase")
+        F.rlike(text, F.lit(MENU_MARKS)).alias("menu"), F.rlike(text, F.lit(SYMBOLS)).alias("symbols"), has_phrase(text).alias("phrase")
     )
     columns = [c for c in docs.columns if c not in RESULT]
     rows = docs.select(
