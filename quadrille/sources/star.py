@@ -146,22 +146,44 @@ def nested_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members(spark, sf_dir).unionByName(spark.createDataFrame(more, "relation long, pos long, type string, ref long, role string"))
 
 
-_built: dict[tuple[str, str], Planet] = {}
+class Built(Planet):
+    """The star tables' planet; each located part is written to the checkpoint folder when it is first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        ensure_checkpoint_dir(spark)
+        self.spark, self.sf_dir = spark, sf_dir
+        self.ways, self.relations, self.members = ways(spark, sf_dir), relations(spark, sf_dir), members(spark, sf_dir)
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        return geo.with_location(nodes(self.spark, self.sf_dir), F.col("lon"), F.col("lat")).checkpoint()
+
+    @cached_property
+    def way_h(self) -> DataFrame:
+        return locate.way_locations(self.ways, self.way_points).checkpoint()
+
+    @cached_property
+    def relation_h(self) -> DataFrame:
+        return locate.relation_locations(self.members, self.nodes, self.way_h).checkpoint()
+
+
+_built: dict[tuple[str, str], Built] = {}
 
 
 def planet(spark: SparkSession, sf_dir: str) -> Planet:
-    """The located entities, written once per session to the checkpoint folder as a build would."""
+    """The located entities, once per session."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _built:
-        ensure_checkpoint_dir(spark)
-        located = geo.with_location(nodes(spark, sf_dir), F.col("lon"), F.col("lat")).checkpoint()
-        built = Planet(located, ways(spark, sf_dir), relations(spark, sf_dir), members(spark, sf_dir))
-        built.__dict__["way_h"] = built.way_h.checkpoint()
-        built.__dict__["relation_h"] = built.relation_h.checkpoint()
-        _built[key] = built
+        _built[key] = Built(spark, sf_dir)
     return _built[key]
 
 
+def forget() -> None:
+    """Lets go of all that this session has built."""
+    _built.clear()
+    _archives.clear()
+
+
 _archives: dict[tuple[str, str], object] = {}
 
 
