@@ -492,7 +492,7 @@ def suffix_dedup(
     repeat a doc_id are expected to repeat its text, and get the same result each. Other columns are ignored; an
     empty table gives an empty result. ``kept`` may be null where nothing was removed; then ``sha`` is the whole text's.
 
-    Texts are shuffled by doc_id once; all passes over them read that one exchange.
+    Texts are shuffled by doc_id twice, to gather contexts and to cut; the passes of a job read one exchange.
     """
     every, facts, texts, able = _texts(docs, size, id_col, text_col)
     width = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
