@@ -1,9 +1,9 @@
 """Byte-level BPE encoding and decoding (operator 3).
 
 Two tiers. A pre-token that is itself in the vocabulary is resolved by a minimal perfect hash (hash,
-displace, verify the bytes), for a whole batch at once. Only the others are merged: a heap of pairs by rank
-over a linked list of bytes, O(n log n) for a pre-token of n bytes, once per different pre-token of a batch (told
-apart by their bytes).
+displace, verify the bytes), for a whole piece at once. Only the others are merged: a heap of pairs by rank
+over a linked list of bytes, O(n log n) for a pre-token of n bytes, once per different pre-token of a piece (told
+apart by their bytes) that is not among those remembered, a table of fixed size.
 
 Pre-tokens follow the pattern published with the vocabulary,
 ``'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+``; their borders are
@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from array import array
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
@@ -31,7 +30,9 @@ from quadrille.llm.remote import remote
 
 SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
-CACHE = 200_000  # merged pre-tokens to remember, and as many of the generation before
+SLOTS = 1 << 18  # merged pre-tokens to remember, of this many bytes and ids each
+LONGEST, MOST_IDS = 32, 12
+PIECE = 1 << 18  # bytes of texts to encode at once
 
 
 @lru_cache(1)
@@ -197,6 +198,37 @@ def _distinct(data: np.ndarray, start: np.ndarray, end: np.ndarray, names: np.nd
     return first, which
 
 
+class Merged:
+    """Ids of pre-tokens merged before, in arrays that never grow. The name chooses the slot, bytes decide; the last one stays."""
+
+    def __init__(self) -> None:
+        self.size = np.zeros(SLOTS, np.uint8)  # bytes; none are free slots
+        self.count = np.zeros(SLOTS, np.uint8)
+        self.piece = np.zeros((SLOTS, LONGEST // 8), np.uint64)
+        self.ids = np.zeros((SLOTS, MOST_IDS), np.int32)
+
+    def encode(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, names: np.ndarray, ranks: dict[bytes, int]):
+        """All ids of the different pre-tokens of ``data``, and how many each has."""
+        reach = start[:, None] + np.arange(LONGEST)
+        padded = np.where(reach < end[:, None], data[np.minimum(reach, len(data) - 1)], 0).astype(np.uint8).view(np.uint64)
+        slot, length = (names % U(SLOTS)).astype(np.int64), end - start
+        found = (self.size[slot] == length) & (self.piece[slot] == padded).all(axis=1)
+        sizes = np.where(found, self.count[slot], 0).astype(np.int64)
+        rest = np.flatnonzero(~found)
+        merged = [merge(data[s:e].tobytes(), ranks) for s, e in zip(start[rest].tolist(), end[rest].tolist())]
+        sizes[rest] = np.fromiter(map(len, merged), np.int64, len(merged))
+        flat, to = np.empty(int(sizes.sum()), np.int32), np.cumsum(sizes) - sizes
+        for some, values in ((np.flatnonzero(found), None), (rest, [i for ids in merged for i in ids])):
+            inner = ragged(sizes[some])
+            flat[np.repeat(to[some], sizes[some]) + inner] = self.ids[np.repeat(slot[some], sizes[some]), inner] if values is None else values
+        new = rest[(length[rest] <= LONGEST) & (sizes[rest] <= MOST_IDS)]
+        new = new[np.unique(slot[new], return_index=True)[1]]
+        self.size[slot[new]], self.count[slot[new]], self.piece[slot[new]] = length[new], sizes[new], padded[new]
+        inner = ragged(sizes[new])
+        self.ids[np.repeat(slot[new], sizes[new]), inner] = flat[np.repeat(to[new], sizes[new]) + inner]
+        return flat, sizes
+
+
 class Vocabulary:
     def __init__(self, path: str) -> None:
         with open(path, "rb") as file:
@@ -209,8 +241,7 @@ class Vocabulary:
         self.place = np.full(int(self.ids.max()) + 1, -1, np.int64)
         self.place[self.ids] = np.arange(len(tokens))
         self.hash = PerfectHash(*self._hashes(self.blob, self.at[:-1], self.at[1:]))
-        self.cache: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        self.merged = Merged()
 
     @staticmethod
     def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -243,22 +274,9 @@ class Vocabulary:
         miss = np.flatnonzero(~known)
         counts = np.ones(len(start), np.int64)
         if len(miss):
-            if len(self.cache) > CACHE:
-                self.cache, self.older = {}, self.cache
             first, which = _distinct(data, start[miss], end[miss], h1[miss])
-            cache, older, ranks, raw, merged = self.cache, self.older, self.ranks, data.tobytes(), []
-            for s, e in zip(start[miss[first]].tolist(), end[miss[first]].tolist()):
-                piece = raw[s:e]
-                ids = cache.get(piece)
-                if ids is None:
-                    ids = older.get(piece)
-                    if ids is None:
-                        ids = array("i", merge(piece, ranks)).tobytes()
-                    if e - s <= 64:
-                        cache[piece] = ids
-                merged.append(ids)
-            sizes = np.fromiter(map(len, merged), np.int64, len(merged)) // 4
-            flat = np.frombuffer(b"".join(merged), np.int32)
+            one = miss[first]
+            flat, sizes = self.merged.encode(data, start[one], end[one], h1[one], self.ranks)
             counts[miss] = sizes[which]
         to = np.cumsum(counts) - counts
         out = np.empty(int(counts.sum()), np.int32)
@@ -288,11 +306,12 @@ def vocabulary(path: str) -> Vocabulary:
 
 def _encode(batches, path: str, text: str, proof: bool):
     words = vocabulary(path)
-    for batch in pieces(batches, text):
+    for batch in pieces(batches, text, PIECE):
         ids, counts = words.encode(batch.column(text))
         at = np.append(0, np.cumsum(counts))
-        arrays = dict(zip(batch.schema.names, batch.columns))
-        arrays.pop(text)
+        # copies, as a slice would hold the memory of all the texts that it came with
+        arrays = {c: batch.column(c).take(pa.array(np.arange(batch.num_rows))) for c in batch.schema.names if c != text}
+        del batch
         arrays["token_ids"] = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids))
         if proof:
             arrays["n_tokens"] = pa.array(counts, pa.int64())
@@ -319,7 +338,7 @@ def _decode(batches, path: str):
 
 def _round_trip(batches, path: str):
     words = vocabulary(path)
-    for batch in pieces(batches, "text", 1 << 19):
+    for batch in pieces(batches, "text", PIECE):
         ids, counts = words.encode(batch.column("text"))
         at = np.append(0, np.cumsum(counts))
         stored = ids.astype("<u4").tobytes()

@@ -81,13 +81,14 @@ def pieces(batches, column: str, most: int = 1 << 20):
     for batch in batches:
         if not batch.num_rows:
             continue
-        _, offsets = column_bytes(batch.column(column))
+        offsets = column_bytes(batch.column(column))[1]
         at, n = 0, batch.num_rows
         while at < n:
             end = int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1
             end = min(n, max(at + 1, end))
             yield batch.slice(at, end - at)
             at = end
+        del batch  # before the next one is read
 
 
 class Words:

@@ -6,6 +6,7 @@ import hashlib
 import os
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +54,32 @@ def test_spans_of_one_name_are_told_apart():
         assert len({data[start[k] : end[k]].tobytes() for k in first}) == len(first) == 3
 
 
+def test_merged_pretokens_take_no_more_memory_as_they_grow():
+    words = bpe.Vocabulary(PATH)
+    words.encode(pa.array(["warm up qzxv"]))
+    rnd = random.Random(5)
+    texts = [" ".join("".join(rnd.choices("qxzvjkw", k=9)) for _ in range(5000)) for _ in range(10)]
+    tracemalloc.start()
+    for t in texts:
+        words.encode(pa.array([t]))
+    grown, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert grown < 4 << 20
+
+
+@pytest.mark.parametrize("slots", [1, 7, 1 << 18])
+def test_merged_pretokens_that_share_a_slot(monkeypatch, reference, slots):
+    monkeypatch.setattr(bpe, "SLOTS", slots, raising=False)
+    words, rnd = bpe.Vocabulary(PATH), random.Random(6)
+    some = ["".join(rnd.choices("qxzvéß漢", k=rnd.choice([3, 9, 10, 11, 31, 32, 33, 70]))) for _ in range(60)]
+    some += ["z" * n for n in (31, 32, 33, 34, 300)] + ["=" * 29 + "\0" * k for k in range(5)]
+    for _ in range(3):  # new ones, then remembered ones
+        texts = [" ".join(rnd.choices(some, k=rnd.randint(0, 30))) for _ in range(40)]
+        ids, counts = words.encode(pa.array(texts))
+        want = [reference.encode_ordinary(t) for t in texts]
+        assert counts.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
+
+
 def test_perfect_hash_is_minimal():
     words = bpe.vocabulary(PATH)
     assert sorted(words.hash.key.tolist()) == list(range(len(words.ids)))
