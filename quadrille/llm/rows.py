@@ -1,4 +1,4 @@
-"""Numbers for rows, which all scans of a table repeat."""
+"""Numbers for rows, which all scans of a table repeat; and shuffles that several jobs read."""
 
 from __future__ import annotations
 
@@ -39,3 +39,20 @@ def numbered(docs: DataFrame, name: str = "_row") -> DataFrame:
     files = sorted(r[0] for r in rows.select(file).distinct().collect())
     numbers = docs.sparkSession.createDataFrame(list(enumerate(files)), f"{number} long, {file} string")
     return rows.join(F.broadcast(numbers), file).select(*docs.columns, (F.col(number) * (1 << 40) + F.col(place)).alias(name))
+
+
+def shuffled_once(docs: DataFrame) -> DataFrame:
+    """``docs``, with shuffles that run now and that all later jobs read, where each would else write its own.
+
+    They stay while the result is in use. What is lost of them is made again from what ``docs`` reads.
+    """
+    spark, jvm = docs.sparkSession, docs.sparkSession._jvm
+    sql, query = jvm.org.apache.spark.sql, docs._jdf.queryExecution()
+    rows, plan = query.toRdd(), query.executedPlan()
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        plan = plan.executedPlan()  # as it ran; the adaptive node itself tells no partitioning
+    parts, none = plan.outputPartitioning(), getattr(getattr(jvm.scala, "None$"), "MODULE$")
+    while parts.getClass().getSimpleName() == "PartitioningCollection":
+        parts = parts.partitionings().head()
+    scan = sql.execution.LogicalRDD(plan.output(), rows, parts, plan.outputOrdering(), False, none, spark._jsparkSession, none, none)
+    return DataFrame(getattr(getattr(sql.classic, "Dataset$"), "MODULE$").ofRows(spark._jsparkSession, scan), spark)

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from quadrille.llm.npx import POLY, U, column_bytes, grams, mix, pieces, ragged, signed, sliding_argmin
 from quadrille.llm.remote import remote
+from quadrille.llm.rows import shuffled_once
 from quadrille.session import ensure_checkpoint_dir
 
 GRAM = 24
@@ -436,14 +437,18 @@ def _cut(batches):
 
 
 def _texts(docs: DataFrame, size: int, id_col: str, text_col: str):
-    """(every row, its facts with the first doc_id of the same text, the texts that can hold or lose a string)."""
+    """(The facts of every row with the first doc_id of the same text, the texts that can hold or lose a string by doc_id,
+    which facts are theirs, the number of partitions)."""
     ensure_checkpoint_dir(docs.sparkSession)
     every = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     facts = every.mapInArrow(remote(__name__, "_facts"), "doc_id long, n_bytes long, sha string").checkpoint()
     firsts = facts.groupBy("sha").agg(F.min("doc_id").alias("first"))
     facts = facts.join(firsts, "sha").checkpoint()
     able = F.coalesce((F.col("doc_id") == F.col("first")) & (F.col("n_bytes") >= size), F.lit(False))
-    return every, facts, every.join(facts.filter(able).select("doc_id").distinct(), "doc_id").select("doc_id", "text"), able
+    width = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    texts = every.filter("doc_id IS NOT NULL").repartition(width, "doc_id")
+    texts = texts.join(facts.filter(able).select("doc_id").distinct(), "doc_id").select("doc_id", "text")
+    return facts, shuffled_once(texts), able, width
 
 
 CONTEXTS = "gram long, lead int, context binary, doc_id long, start int"
@@ -469,8 +474,7 @@ def repeat_groups(docs: DataFrame, size: int = 100, id_col: str = "doc_id", text
     A repeat is maximal within the strings that share a minimizer, so a longer passage is told of as a chain of
     overlapping ones. Texts that equal a smaller doc_id's, null and short ones are left out.
     """
-    _, _, texts, _ = _texts(docs, size, id_col, text_col)
-    width = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    _, texts, _, width = _texts(docs, size, id_col, text_col)
     shape = "repeat binary, length int, copy binary, offset int, doc_id long, start int"
     rows = _sorted_contexts(texts, size, width).mapInArrow(
         remote(__name__, "_repeat_groups", size=size, most=1 << 62, high=size - min(GRAM, size)), shape
@@ -492,10 +496,9 @@ def suffix_dedup(
     repeat a doc_id are expected to repeat its text, and get the same result each. Other columns are ignored; an
     empty table gives an empty result. ``kept`` may be null where nothing was removed; then ``sha`` is the whole text's.
 
-    Texts are shuffled by doc_id twice, to gather contexts and to cut; the passes of a job read one exchange.
+    Texts are shuffled by doc_id once; gathering contexts and cutting are jobs that read the same exchange.
     """
-    every, facts, texts, able = _texts(docs, size, id_col, text_col)
-    width = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    facts, texts, able, width = _texts(docs, size, id_col, text_col)
     repeats = remote(__name__, "_repeats", size=size, most=block_bytes, high=size - min(GRAM, size))
     found = _sorted_contexts(texts, size, width).mapInArrow(repeats, SPANS).checkpoint()
     spans = found.filter("gram IS NULL").select("doc_id", "from", "to")

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import string
 
 import pyarrow as pa
 import pytest
@@ -181,6 +182,31 @@ def test_suffixes(spark, most):
             assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id]
 
 
+def shuffled(spark):
+    """Bytes written to shuffles by all stages so far."""
+    sc, jvm = spark.sparkContext, spark._jvm
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return {stages.apply(k).stageId(): stages.apply(k).shuffleWriteBytes() for k in range(stages.size())}
+
+
+def test_suffixes_shuffle_texts_once(spark, tmp_path):
+    rnd = random.Random(8)
+    letters = string.ascii_letters + string.digits
+    docs = [(i, "".join(rnd.choices(letters, k=50_000))) for i in range(40)]
+    docs.append((40, docs[0][1][:200] + docs[1][1][-200:]))
+    frame(spark, docs).write.parquet(f"{tmp_path}/documents")
+    before, kept = shuffled(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = suffixes.suffix_dedup_report(spark.read.parquet(f"{tmp_path}/documents")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert {r.doc_id: r.n_removed for r in got} == {i: 400 * (i == 40) for i in range(41)}
+    written = sum(n for stage, n in shuffled(spark).items() if stage not in before)
+    assert written < 2 * sum(len(t) for _, t in docs)  # texts, and 0.6 of them for their minimizers
+
+
 def stream(rows, size):
     """Rows in the order of the buckets, in batches of ``size``."""
     rows = sorted(rows, key=lambda r: (r["gram"], r["lead"], r["context"], r["doc_id"], r["start"]))
