@@ -17,8 +17,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.functions import geo
-from quadrille.operators import content, document, index, rules
+from quadrille.functions import geo, hilbert
+from quadrille.operators import content, document, index, locate, rules
 from quadrille.session import ensure_checkpoint_dir
 from quadrille.sources import manifest as manifests
 from quadrille.sources import osm_pbf, osm_xml
@@ -41,29 +41,28 @@ def planet_of(spark: SparkSession, source: str) -> Planet:
         members = whole.select(F.col("osm_id").alias("relation"), F.posexplode("members").alias("pos", "m"))
         members = members.select("relation", F.col("pos").cast("long").alias("pos"), "m.type", "m.ref", "m.role")
     located = geo.with_location(nodes, F.col("lon"), F.col("lat")).checkpoint()
-    built = Planet(located, ways.checkpoint(), relations, members.checkpoint())
-    built.__dict__["way_h"] = built.way_h.checkpoint()
-    built.__dict__["relation_h"] = built.relation_h.checkpoint()
-    return built
+    return Planet(located, ways.checkpoint(), relations, members.checkpoint())
 
 
 def write(spark: SparkSession, planet: Planet, m: Manifest, folder: str, partitions: int | None = None) -> None:
     """All tables of a build, replacing those of an earlier one, with the manifest and its rules."""
-    width = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    width = partitions or planet.width
     z = m.leaf_zoom
     located = planet.located
-    external = index.external_ways(planet.way_points, planet.way_h, z).select("tile_h", F.lit("way").alias("kind"), "osm_id")
-    external = external.unionByName(
-        index.external_relations(planet.members, located, z).select("tile_h", F.lit("relation").alias("kind"), "osm_id")
-    )
-    at_leaf = content.leaf_entities(located, external, z)
-    rendered = content.drop_untagged_nodes(rules.classify(planet.tagged, m)).join(F.broadcast(rules.evals(spark, m)), "rule")
-    ranged = rendered.select("kind", "osm_id", "minzoom", "maxzoom")
-    shown = content.tile_content(at_leaf, ranged, z).unionByName(
-        at_leaf.join(ranged, ["kind", "osm_id"], "left_semi").select(F.lit(z).alias("z"), "tile_h", "kind", "osm_id").distinct()
-    )
-    features = content.project_tags(rendered, m.all_tags).select("kind", "osm_id", "rule", "props")
-    features = features.join(document.points_of(planet), ["kind", "osm_id"]).join(located, ["kind", "osm_id"])
+
+    def ruled(rows: DataFrame) -> DataFrame:
+        return content.drop_untagged_nodes(rules.classify(rows, m)).join(F.broadcast(rules.evals(spark, m)), "rule")
+
+    whole, related = ruled(content.whole(planet, z)), ruled(content.related(planet, z))
+    order = ("z", "tile_h", "kind", "osm_id")
+    at_leaf = whole.select(F.lit(z).alias("z"), F.explode("tiles").alias("tile_h"), "kind", "osm_id", F.col("h").alias("at"))
+    at_leaf = at_leaf.unionByName(related.select(F.lit(z).alias("z"), "tile_h", "kind", "osm_id", F.col("h").alias("at")))
+    above = content.tile_content(whole.withColumn("at", F.col("h")), related.withColumn("at", F.col("h")), z)
+    placed = above.select(*order, "at").unionByName(at_leaf.select(*order, "at")).withColumnRenamed("at", "h")
+    own = related.filter(F.col("tile_h") == hilbert.at_zoom(F.col("h"), z))  # a relation's row for its own leaf
+    features = whole.drop("tiles").unionByName(own.drop("tile_h"))
+    point = lambda q: F.struct(*[v.alias(c) for v, c in zip(locate.unpacked(q), "xy")])
+    features = content.project_tags(features, m.all_tags).withColumn("path", F.transform("p", point))
     leaves = index.leaf_index(located, z)
 
     def save(rows: DataFrame, name: str, *by: str) -> None:
@@ -72,8 +71,6 @@ def write(spark: SparkSession, planet: Planet, m: Manifest, folder: str, partiti
     save(index.clustered(features.select(*FEATURE), width).drop("h_ord"), "features")
     save(leaves.repartitionByRange(width, "tile_h").sortWithinPartitions("tile_h"), "leaves")
     save(index.tile_tree(leaves, z).repartitionByRange(width, "z", "h").sortWithinPartitions("z", "h"), "tiles", "z")
-    order = ("z", "tile_h", "kind", "osm_id")
-    placed = shown.join(located, ["kind", "osm_id"]).select(*order, "h")
     save(placed.repartitionByRange(width, *order).sortWithinPartitions(*order), "content", "z")
     if "://" not in folder and not folder.startswith("file:"):  # beside the tables, where the driver sees the folder
         manifests.save(m, folder)
